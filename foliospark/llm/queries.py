@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: In the order of the operator list.
-MODULES = ("quality", "packing")
+MODULES = ("licenses", "quality", "warc", "packing", "pii")
 
 
 def queries() -> dict:
