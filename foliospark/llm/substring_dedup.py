@@ -8,10 +8,15 @@ times the corpus; only positions that can still matter are refined, by identifie
   places, so windows whose anchor's bucket has one member are done. Anchors are about 1.5 % of the positions.
 * Neighbouring windows with one anchor form a segment. Buckets of two or more are refined by the identifier of the
   segment's whole stretch: members of a stretch that occurs twice are repeated altogether.
-* What is left - stretches that occur once, in a bucket of several - is refined to the single window. A window's
-  identifier is built from those of later offsets: ``id(2Q)`` at p from ``id(Q)`` at p and p+Q, ``id(LENGTH)`` from
-  ``id(2Q)`` at p and at its last place, each level reusing the one before. One stretch of each kind stands for its
-  copies, with their number, so a bucket of thousands of copies costs what one costs.
+* What is left - stretches that occur once, in a bucket of several - is refined by chunks of ``CHUNK`` windows, counted
+  from the anchor. If the identifier of what all windows of a chunk share occurs once, none is repeated; if that of
+  the chunk's whole stretch occurs twice, all are.
+* Chunks in between are refined to the single window. A window's identifier is built from those of later offsets:
+  ``id(2Q)`` at p from ``id(Q)`` at p and p+Q, ``id(LENGTH)`` from ``id(2Q)`` at p and at its last place, each level
+  reusing the one before.
+
+One member of each kind stands for its copies, with their number, so a bucket of thousands of copies costs what one
+costs.
 
 Identifiers are 64-bit hashes; windows are compared under (bucket, window) pairs of them. Counts are partial sums and
 joins equi-joins, which AQE splits where one bucket holds many rows.
@@ -33,6 +38,8 @@ LENGTH = 200
 Q = 64
 #: Window starts handled at once; bounds memory with very long texts.
 BLOCK = 1 << 20
+#: Windows of a chunk.
+CHUNK = 16
 BROADCAST_ROWS = 1_000_000
 
 _RANDOM = np.random.default_rng(7)
@@ -82,7 +89,7 @@ class Ids:
 
 
 def segments(data: np.ndarray, length: int = LENGTH, q: int = Q):
-    """Runs of windows with one anchor: (bucket, first window, last window, stretch), block by block."""
+    """Runs of windows with one anchor: (bucket, anchor, first window, last window, stretch), block by block."""
     n, width = len(data), length - q + 1
     for at in range(0, max(0, n - length + 1), BLOCK):
         own = data[at : at + BLOCK + length - 1]
@@ -99,7 +106,7 @@ def segments(data: np.ndarray, length: int = LENGTH, q: int = Q):
         anchor = 0xFFFFFFFF - (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
         first = np.concatenate([[0], np.flatnonzero(anchor[1:] != anchor[:-1]) + 1])
         last = np.append(first[1:] - 1, len(anchor) - 1)
-        yield grams[anchor[first]], first + at, last + at, ids.stretches(first, last + length)
+        yield grams[anchor[first]], anchor[first] + at, first + at, last + at, ids.stretches(first, last + length)
 
 
 def _bytes(text: str | None) -> np.ndarray:
@@ -108,7 +115,7 @@ def _bytes(text: str | None) -> np.ndarray:
 
 def _segment_rows(length: int, q: int):
     def step(_, part) -> dict | None:
-        out = {k: [] for k in ("bucket", "first", "last", "stretch")}
+        out = {k: [] for k in ("bucket", "anchor", "first", "last", "stretch")}
         rows, counts = [], []
         for k, text in enumerate(part.column("text").to_pylist()):
             data = _bytes(text)
@@ -121,7 +128,35 @@ def _segment_rows(length: int, q: int):
             return None
         who = np.repeat(rows, counts)
         joined = {k: np.concatenate(v) for k, v in out.items()}
-        return {"doc_id": part.column("doc_id").take(pa.array(who)), "text_key": part.column("text_key").take(pa.array(who)), "bucket": joined["bucket"].view(np.int64), "first": joined["first"].astype(np.int32), "last": joined["last"].astype(np.int32), "stretch": joined["stretch"].view(np.int64)}
+        return {"doc_id": part.column("doc_id").take(pa.array(who)), "text_key": part.column("text_key").take(pa.array(who)), "bucket": joined["bucket"].view(np.int64), "anchor": joined["anchor"].astype(np.int32), "first": joined["first"].astype(np.int32), "last": joined["last"].astype(np.int32), "stretch": joined["stretch"].view(np.int64)}
+
+    return step
+
+
+def _chunk_rows(length: int):
+    def step(_, part) -> dict | None:
+        cols: dict = {k: [] for k in ("bucket", "chunk", "first", "last", "core", "stretch", "n")}
+        who = []
+        for k, (text, parts) in enumerate(zip(part.column("text").to_pylist(), part.column("parts").to_pylist(), strict=True)):
+            data = _bytes(text)
+            for p in parts:
+                # Places in the segment's own bytes; windows start at ``anchor - offset``.
+                low, own = p["first"], data[p["first"] : p["last"] + length]
+                anchor, reach = p["anchor"] - low, p["last"] - low
+                numbers = np.arange((anchor - reach) // CHUNK, anchor // CHUNK + 1)
+                first, last = np.maximum(anchor - numbers * CHUNK - CHUNK + 1, 0), np.minimum(anchor - numbers * CHUNK, reach)
+                ids = Ids(own)
+                # What every window of the chunk holds, wherever the segment ends.
+                core = ids.stretches(np.minimum(anchor - numbers * CHUNK, len(own)), np.minimum(anchor - numbers * CHUNK - CHUNK + 1 + length, len(own)))
+                count = len(numbers)
+                for name, values in (("bucket", np.full(count, p["bucket"], np.int64)), ("chunk", numbers), ("first", first + low), ("last", last + low), ("core", core.view(np.int64)), ("stretch", ids.stretches(first, last + length).view(np.int64)), ("n", np.full(count, p["n"], np.int64))):
+                    cols[name].append(values)
+                who.append(np.full(count, k))
+        if not who:
+            return None
+        at = pa.array(np.concatenate(who))
+        out = {name: np.concatenate(v) for name, v in cols.items()}
+        return {"doc_id": part.column("doc_id").take(at), "text_key": part.column("text_key").take(at), **out, "chunk": out["chunk"].astype(np.int32), "first": out["first"].astype(np.int32), "last": out["last"].astype(np.int32)}
 
     return step
 
@@ -182,11 +217,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, q: int = Q) -> tuple[D
     docs: doc_id, text, text_key.
     """
     key = ["doc_id", "text_key"]
-    every = common.materialize(common.arrow_map(docs, "doc_id long, text_key long, bucket long, first int, last int, stretch long", _segment_rows(length, q)), "sub-segments")
+    every = common.materialize(common.arrow_map(docs, "doc_id long, text_key long, bucket long, anchor int, first int, last int, stretch long", _segment_rows(length, q)), "sub-segments")
     twice = every.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1").select("bucket")
     active = common.materialize(every.join(twice, "bucket"), "sub-active")
     common.discard(every)
-    stretches = active.groupBy("bucket", "stretch").agg(F.count("*").alias("n"), F.min(F.struct(*key, "first", "last")).alias("one"))
+    stretches = active.groupBy("bucket", "stretch").agg(F.count("*").alias("n"), F.min(F.struct(*key, "anchor", "first", "last")).alias("one"))
     stretches = common.materialize(stretches, "sub-stretches")
     whole = active.join(stretches.filter("n > 1").select("bucket", "stretch"), ["bucket", "stretch"]).select(*key, "first", (F.col("last") + length).alias("end"))
     # Buckets with stretches of one copy; each of their stretches sends one member on.
@@ -194,10 +229,18 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, q: int = Q) -> tuple[D
     onward = stretches.join(open_, "bucket").select("one.*", "bucket", "n")
     ids = active.select(*key).distinct()
     texts = common.materialize(docs.join(common.bounded_broadcast(common.materialize(ids, "sub-ids"), BROADCAST_ROWS), key, "left_semi").distinct(), "sub-texts")
-    parts = onward.groupBy(*key).agg(F.collect_list(F.struct("first", "last", "bucket", "n")).alias("parts"))
+    parts = onward.groupBy(*key).agg(F.collect_list(F.struct("anchor", "first", "last", "bucket", "n")).alias("parts"))
+    place = ["bucket", "chunk", "core"]
+    chunks = common.materialize(common.arrow_map(texts.join(parts, key), "doc_id long, text_key long, bucket long, chunk int, first int, last int, core long, stretch long, n long", _chunk_rows(length)), "sub-chunks")
+    kinds = common.materialize(chunks.groupBy(*place, "stretch").agg(F.sum("n").alias("n"), F.min(F.struct(*key, "first", "last")).alias("one")), "sub-kinds")
+    in_twice = chunks.filter("n = 1").join(kinds.filter("n > 1").select(*place, "stretch"), [*place, "stretch"]).select(*key, "first", (F.col("last") + length).alias("end"))
+    mixed = kinds.groupBy(*place).agg(F.count("*").alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1").select(*place)
+    pieces = kinds.join(mixed, place).select("one.*", "bucket", "n")
+    parts = pieces.groupBy(*key).agg(F.collect_list(F.struct("first", "last", "bucket", "n")).alias("parts"))
     windows = common.materialize(common.arrow_map(texts.join(parts, key), "doc_id long, text_key long, bucket long, window long, at int, n long", _window_rows(length, q)), "sub-windows")
     again = windows.groupBy("bucket", "window").agg(F.sum("n").alias("n")).filter("n > 1").select("bucket", "window")
     single = windows.filter("n = 1").join(again, ["bucket", "window"]).select(*key, F.col("at").alias("first"), (F.col("at") + length).alias("end"))
+    single = single.union(in_twice)
     return whole.union(single), texts
 
 
