@@ -4,11 +4,14 @@ A document's signature is ``TREES`` sequences of ``DEPTH`` min-hashes. A tree or
 documents with a long common prefix stand next to one another there, in a run. Candidates come from runs:
 
 1. Documents of equal shingle sets are one class; from here on a class is its smallest document.
-2. Deep runs (all ``DEPTH`` hashes equal, ``FIRST_TREES`` trees): every class is compared with the smallest of its
-   runs. Confirmed links give first components; a large group of copies is done here, with one pair per member.
+2. Deep runs (``FIRST_DEPTH`` hashes equal, ``FIRST_TREES`` trees): every class is compared with the hub of its runs,
+   the member that meets most others. Copies of one text share runs with it more often than with one another, so a
+   large group is mostly done here, with one pair per member. Confirmed links give first components.
 3. All trees, shallow runs first (``SHALLOW`` hashes equal): runs that lie inside one component are done. In any
-   other, members of different components are compared if the run has ``MAX_RUN`` members or fewer; larger runs go one
-   hash deeper, so depth follows the density of the region. At full depth no size is too large.
+   other, members of different components are candidates if the run has ``MAX_RUN`` members or fewer; larger runs go
+   one hash deeper, so depth follows the density of the region. At full depth no size is too large.
+4. Candidates meet in an equi-join on the run. Its condition compares sketches of ``BITS`` one-bit min-hashes, made
+   for members of such runs alone, so that pairs far from 0.75 never become rows; what is left is confirmed.
 
 Two documents of similarity 0.75 share a run of 2 hashes in one of 24 trees with probability 1 - 2e-9.
 """
@@ -28,11 +31,14 @@ from .words import HashWords, mix64
 WORDS = 5
 PERCENT = 75
 TREES, DEPTH, SHALLOW = 24, 5, 2
-FIRST_TREES = 8
+FIRST_TREES, FIRST_DEPTH = 8, 4
 MAX_RUN = 32
-#: Pairs whose signatures agree in under this share of places aren't looked at: five standard deviations below 0.75.
-LEAST_AGREEMENT = 0.55
+#: Bits of two documents of similarity s are equal with probability (1 + s) / 2.
+BITS = 1024
+#: Five standard deviations below what 0.75 gives: 844 of 1024.
+LEAST_EQUAL = int(BITS * 0.875 - 5 * (BITS * 0.875 * 0.125) ** 0.5)
 SIGNATURE = TREES * DEPTH
+BROADCAST_ROWS = 500_000
 _BLOCK = 2048
 
 _RANDOM = np.random.default_rng(20240517)
@@ -67,6 +73,20 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out.view(np.int32)
 
 
+_C = _RANDOM.integers(0, 1 << 63, BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_D = _RANDOM.integers(0, 1 << 63, BITS, dtype=np.uint64)
+
+
+def bits(shingles: np.ndarray) -> np.ndarray:
+    """One bit of each of BITS min-hashes, as 64-bit numbers."""
+    low = np.full(BITS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 256):
+        x = np.multiply.outer(_C, shingles[at : at + 256])
+        x += _D[:, None]
+        np.minimum(low, x.min(1), out=low)
+    return np.packbits((mix64(low) & np.uint64(1)).astype(np.uint8)).view(np.int64)
+
+
 def _split(part) -> list[list[bytes]]:
     return [t.encode("utf-8", "replace").lower().split() for t in common.texts_of(part)]
 
@@ -84,6 +104,12 @@ def _sketch(words: HashWords, part) -> dict:
     return {"doc_id": part.column("doc_id"), "n_shingles": n, "digest": digest, "sig": sig}
 
 
+def _bits(words: HashWords, part) -> dict:
+    hashes, bounds = words.hashes(_split(part))
+    rows = [bits(shingle_hashes(hashes[bounds[k] : bounds[k + 1]])) for k in range(part.num_rows)]
+    return {"doc_id": part.column("doc_id"), **{f"b{j}": [int(r[j]) for r in rows] for j in range(BITS // 64)}}
+
+
 def _sets(words: HashWords, part) -> dict:
     hashes, bounds = words.hashes(_split(part))
     return {"doc_id": part.column("doc_id"), "shingles": [shingle_hashes(hashes[bounds[k] : bounds[k + 1]]).view(np.int64) for k in range(part.num_rows)]}
@@ -92,7 +118,7 @@ def _sets(words: HashWords, part) -> dict:
 def _confirmed(pairs: DataFrame, plain: DataFrame) -> DataFrame:
     """Those pairs (a, b) whose full sets are similar enough, as edges (u, v)."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = common.materialize(common.arrow_map(plain.join(ids, "doc_id", "left_semi"), "doc_id long, shingles array<long>", _sets, HashWords), "near-sets")
+    sets = common.materialize(common.arrow_map(plain.join(common.bounded_broadcast(ids, BROADCAST_ROWS), "doc_id", "left_semi"), "doc_id long, shingles array<long>", _sets, HashWords), "near-sets")
     x = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
     y = x.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
@@ -111,26 +137,39 @@ def _nodes(docs: DataFrame, trees: int, *more: str) -> DataFrame:
     return docs.select("doc_id", "sig", *more, tree.alias("tree")).withColumn("h", F.slice("sig", F.col("tree") * DEPTH + 1, DEPTH)).drop("sig")
 
 
-def _later_pairs(nodes: DataFrame, max_run: int) -> DataFrame:
+def _hub_pairs(classes: DataFrame) -> DataFrame:
+    """Each class with the hub of its deep runs: (a, b)."""
+    rows = _nodes(classes, FIRST_TREES).select("doc_id", _prefix(FIRST_DEPTH).alias("key"))
+    runs = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    rows = common.materialize(rows.join(runs, "key"), "near-first")
+    degree = rows.groupBy("doc_id").agg(F.sum("n").alias("degree"))
+    hubs = rows.join(degree, "doc_id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("back"))).alias("hub"))
+    best = rows.join(hubs, "key").groupBy("doc_id").agg((-F.max("hub")["back"]).alias("a"))
+    return best.filter("a <> doc_id").select("a", F.col("doc_id").alias("b"))
+
+
+def _later_pairs(nodes: DataFrame, plain: DataFrame, max_run: int) -> DataFrame:
     """Pairs of different components in runs, deeper where runs are large."""
-    out, rows = [], nodes.withColumn("key", _prefix(SHALLOW))
+    cols, leaves, rows = ("key", "doc_id", "comp", "n_shingles"), [], nodes.withColumn("key", _prefix(SHALLOW))
     for depth in range(SHALLOW, DEPTH + 1):
         runs = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key", "size")
         rows = common.materialize(rows.join(runs, "key"), "near-runs")
-        leaf = rows if depth == DEPTH else rows.filter(F.col("size") <= max_run)
-        cols = ("key", "doc_id", "comp", "n_shingles")
-        a, b = (leaf.select("key", *[F.col(c).alias(f"{c}_{s}") for c in cols[1:]]) for s in "ab")
-        small, large = F.least("n_shingles_a", "n_shingles_b"), F.greatest("n_shingles_a", "n_shingles_b")
-        met = a.join(b, "key").filter((F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("comp_a") != F.col("comp_b")) & (100 * small >= PERCENT * large))
-        out.append(met.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"), F.lit(1 if depth == SHALLOW else 2).alias("weight")))
+        leaves.append((rows if depth == DEPTH else rows.filter(F.col("size") <= max_run)).select(*cols))
         if depth == DEPTH:
             break
         rows = rows.filter(F.col("size") > max_run).drop("size", "key").withColumn("key", _prefix(depth + 1))
         if rows.isEmpty():
             break
-    # At 0.75, two shallow runs or more are shared but for 1 in 10 million pairs; chance meetings share one.
-    met = functools.reduce(DataFrame.union, out).groupBy("a", "b").agg(F.sum("weight").alias("weight"))
-    return met.filter("weight >= 2").select("a", "b")
+    leaf = common.materialize(functools.reduce(DataFrame.union, leaves), "near-leaves")
+    names = [f"b{j}" for j in range(BITS // 64)]
+    members = plain.join(common.bounded_broadcast(leaf.select("doc_id").distinct(), BROADCAST_ROWS), "doc_id", "left_semi")
+    sketches = common.materialize(common.arrow_map(members, "doc_id long, " + ", ".join(f"{n} long" for n in names), _bits, HashWords).dropDuplicates(["doc_id"]), "near-bits")
+    rows = common.materialize(leaf.join(sketches, "doc_id"), "near-leaf-bits")
+    a, b = (rows.select("key", *[F.col(c).alias(f"{c}_{s}") for c in (*cols[1:], *names)]) for s in "ab")
+    small, large = F.least("n_shingles_a", "n_shingles_b"), F.greatest("n_shingles_a", "n_shingles_b")
+    unequal = functools.reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{n}_a").bitwiseXOR(F.col(f"{n}_b"))) for n in names])
+    near = (a["key"] == b["key"]) & (F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("comp_a") != F.col("comp_b")) & (100 * small >= PERCENT * large) & (unequal <= BITS - LEAST_EQUAL)
+    return a.join(b, near).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
 
 
 def link(docs: DataFrame, id_col="doc_id", text_col="text", max_run: int = MAX_RUN) -> DataFrame:
@@ -145,21 +184,15 @@ def link(docs: DataFrame, id_col="doc_id", text_col="text", max_run: int = MAX_R
     members = common.materialize(sketch.select("doc_id", "n_shingles", "digest").join(reps, "digest", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "near-members")
     classes = sketch.filter("n_shingles > 0").join(members.filter("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "n_shingles", "sig")
 
-    first = _nodes(classes, FIRST_TREES).select("doc_id", _prefix(DEPTH).alias("key"))
-    lows = first.groupBy("key").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).filter("n > 1").select("key", "low")
-    stars = first.join(lows, "key").filter("low < doc_id").groupBy("doc_id").agg(F.min("low").alias("a")).select("a", F.col("doc_id").alias("b"))
     # Rows that share an id can differ in text; they are one node.
     equal = members.filter("rep <> doc_id").select(F.col("rep").alias("u"), F.col("doc_id").alias("v")).distinct()
-    edges = _confirmed(common.materialize(stars, "near-stars"), plain)
+    edges = _confirmed(common.materialize(_hub_pairs(classes), "near-hubs"), plain)
     comps = common.materialize(components(edges), "near-components")
 
     placed = classes.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", "sig", F.coalesce("component", "doc_id").alias("comp"))
     placed = common.materialize(placed, "near-placed")
-    pairs = common.materialize(_later_pairs(_nodes(placed, TREES, "n_shingles", "comp"), max_run), "near-pairs")
-    sigs = placed.select("doc_id", "sig")
-    agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
-    near = pairs.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")), "b").filter(agree >= int(LEAST_AGREEMENT * SIGNATURE)).select("a", "b")
-    more = _confirmed(common.materialize(near, "near-pairs"), plain)
+    pairs = common.materialize(_later_pairs(_nodes(placed, TREES, "n_shingles", "comp"), plain, max_run), "near-pairs")
+    more = _confirmed(pairs, plain)
 
     trees = comps.filter("node <> component").select(F.col("component").alias("u"), F.col("node").alias("v"))
     final = components(trees.union(more).union(equal))
