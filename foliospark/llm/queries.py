@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: In the order of the operator list.
-MODULES = ("toxicity", "licenses", "quality", "near_dedup", "substring_dedup", "warc", "packing", "pii")
+MODULES = ("toxicity", "decontamination", "licenses", "quality", "near_dedup", "substring_dedup", "warc", "packing", "pii")
 
 
 def queries() -> dict:
