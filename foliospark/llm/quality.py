@@ -33,6 +33,7 @@ RUN = 100
 LEAST_DOCS = 30
 #: Texts of 2**this tokens or more are one size class.
 LAST_CLASS = 13
+BROADCAST_ROWS = 100_000
 STEP = 3  # decimals
 METRICS = ("chars_per_token", "byte_share", "token_entropy")
 #: Byte share has a spread of nearly zero in clean text: its band is this wide at least.
@@ -158,6 +159,11 @@ def bands(figures: DataFrame, keys: list[str], fence: float = FENCE, least_docs:
     return q.filter(F.col("band_docs") >= least_docs).select(*keys, F.struct(*out).alias("_".join(keys) + "_band"))
 
 
+def _bounded(rows: DataFrame) -> DataFrame:
+    """A language can hold most documents: where the bands are few, no row is moved to meet them."""
+    return common.bounded_broadcast(common.materialize(rows, "quality-bands"), BROADCAST_ROWS)
+
+
 def judge(docs: DataFrame, id_col="doc_id", text_col="text", lang_col: str | None = "lang", vocabulary: str | None = None, fence: float = FENCE) -> DataFrame:
     """Figures, base verdict and verdict of every document.
 
@@ -169,7 +175,7 @@ def judge(docs: DataFrame, id_col="doc_id", text_col="text", lang_col: str | Non
     figures = figures.withColumn("base_failed", failed)
     figures = figures.withColumn("size", F.least(F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))), F.lit(LAST_CLASS)))
     passed = figures.filter("not base_failed")
-    joined = figures.join(bands(passed, ["lang"], fence), "lang", "left").join(bands(passed, ["lang", "size"], fence, LEAST_DOCS), ["lang", "size"], "left")
+    joined = figures.join(_bounded(bands(passed, ["lang"], fence)), "lang", "left").join(_bounded(bands(passed, ["lang", "size"], fence, LEAST_DOCS)), ["lang", "size"], "left")
     joined = joined.withColumn("band", F.coalesce("lang_size_band", "lang_band"))
     inside = F.lit(True)
     for m in METRICS:
