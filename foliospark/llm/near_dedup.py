@@ -202,8 +202,8 @@ def link(docs: DataFrame, id_col="doc_id", text_col="text", max_run: int = MAX_R
 
 def drop_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """docs without all but the smallest of each component; of rows that share an id, one stays."""
-    gone = link(docs, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
+    gone = common.materialize(link(docs, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "near-gone")
+    kept = docs.join(common.bounded_broadcast(gone, BROADCAST_ROWS), docs[id_col].cast("long") == gone["__gone"], "left_anti")
     repeated = docs.groupBy(id_col).count().filter("count > 1")
     return kept if repeated.isEmpty() else kept.dropDuplicates([id_col])
 

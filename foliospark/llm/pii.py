@@ -224,8 +224,8 @@ def mask_text(text: str, spans: str) -> str:
     return "".join(out) + text[end:]
 
 
-def mask(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """docs with its texts masked; other columns, null texts and repeated rows stay."""
+def mask(docs: DataFrame, id_col="doc_id", text_col="text", length_col="n_chars") -> DataFrame:
+    """docs with its texts masked and their lengths, if it has them, counted anew; all else stays."""
     spans = extract(docs, id_col, text_col).filter("spans <> ''").select("doc_id", "text_key", "spans").distinct()
     spans = common.materialize(spans, "pii-spans").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("spans").alias("__spans"))
     right = common.bounded_broadcast(spans, 50_000)
@@ -241,7 +241,10 @@ def mask(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
                 cols[at] = pa.array([t if t is None or not m else mask_text(t, m) for t, m in zip(cols[at].to_pylist(), marks, strict=True)], cols[at].type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return joined_.mapInArrow(run, docs.schema)
+    masked = joined_.mapInArrow(run, docs.schema)
+    if length_col in names:
+        masked = masked.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
+    return masked
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -183,6 +183,13 @@ def judge(docs: DataFrame, id_col="doc_id", text_col="text", lang_col: str | Non
     return joined.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(F.coalesce(inside, F.lit(True)))).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "n_tokens", *METRICS)
 
 
+def keep(docs: DataFrame, id_col="doc_id", text_col="text", lang_col: str | None = "lang", **options) -> DataFrame:
+    """docs without those that are rejected. An id stays with all its rows if one of them is kept."""
+    verdicts = judge(docs, id_col, text_col, lang_col, **options).groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    gone = common.materialize(verdicts.filter("not kept").select(F.col("doc_id").alias("__gone")), "quality-gone")
+    return docs.join(common.bounded_broadcast(gone, 10 * BROADCAST_ROWS), F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(common.table(spark, sf_dir, "documents"))
 
