@@ -25,20 +25,23 @@ BROADCAST_ROWS = 200_000
 UNITS = ("mm", "cm", "m", "km", "inch", "inches", "foot", "feet", "ft", "yard", "yards", "mile", "miles", "mg", "g", "kg", "gram", "grams", "kilograms", "ton", "tons", "tonnes", "lb", "lbs", "pound", "pounds", "ounce", "ounces", "oz", "ml", "l", "liter", "liters", "litre", "litres", "gallon", "gallons", "s", "sec", "seconds", "min", "minute", "minutes", "h", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "percent", "dollar", "dollars", "usd", "eur", "euro", "euros", "cents", "degrees", "celsius", "fahrenheit", "kmh", "mph", "watts", "volts", "joules", "newtons", "mol")
 
 _NAME = r"([\p{L}\p{N},;>] )(\p{Lu}\p{Ll}+)"
+#: A number stands alone or with a unit; digits inside words are letters of them.
+_NUMBER = r"(?<![\p{L}0-9])[0-9]+(?=(" + "|".join(UNITS) + r")?(?![\p{L}0-9]))"
 _UNIT = r"(<num[0-9]+> )(" + "|".join(UNITS) + r")( |$)"
 
 
 def valued(text: Column) -> Column:
     """Words, lower-cased and without punctuation, with slots as <num12>, <nameann>, <unitkg>.
 
-    A name is a capitalised word that doesn't begin a sentence or line. Null counts as empty.
+    A name is a capitalised word that doesn't begin a sentence or line. Marks that only decorate words go first. Null
+    counts as empty.
     """
-    t = F.regexp_replace(F.translate(F.coalesce(text.cast("string"), F.lit("")), "<>", "  "), "[\\x20\\t]+", " ")
+    t = F.regexp_replace(F.translate(F.coalesce(text.cast("string"), F.lit("")), "<>#*$%&|_~^`", "  "), "[\\x20\\t]+", " ")
     for _ in range(2):  # neighbours share a letter, which one pass uses up
         t = F.regexp_replace(t, _NAME, "$1<name$2>")
     for _ in range(2):
         t = F.regexp_replace(t, r"([0-9])[.,]([0-9])", "$1$2")
-    t = F.regexp_replace(t, r"([0-9]+)", "<num$1>")
+    t = F.regexp_replace(t, _NUMBER, "<num$0>")
     t = F.trim(F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}<>]+", " "))
     return F.regexp_replace(t, _UNIT, "$1<unit$2>$3")
 
@@ -105,7 +108,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_co
     kind = lambda w: F.regexp_extract(w, "^<(num|name|unit)", 1)
     places = F.filter(F.sequence(F.col("first") + 1, F.least(F.col("last") + window, F.size("item_values"))), lambda p: _is_slot(value(F.col("item_values"), p)))
     pairs = F.filter(F.transform(places, lambda p: F.struct(value(F.col("item_values"), p).alias("i"), value(F.col("doc_values"), (p + F.col("shift")).cast("int")).alias("d"))), lambda x: kind(x["i"]) == kind(x["d"]))
-    checked = both.withColumn("pairs", pairs)
+    # Where few of the slots meet their like, the line is no copy.
+    checked = both.withColumn("pairs", pairs).filter(2 * F.size("pairs") >= F.size(places))
     one_to_one = (F.size(F.array_distinct("pairs")) == F.size(F.array_distinct("pairs.i"))) & (F.size(F.array_distinct("pairs")) == F.size(F.array_distinct("pairs.d")))
     exact = F.forall("pairs", lambda x: x["i"] == x["d"])
     rows = checked.filter(one_to_one | exact).groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max("item_windows").alias("item_windows"), F.max(F.size("pairs")).cast("long").alias("n_slots"), F.max(exact.cast("int")).alias("exact"))

@@ -218,7 +218,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, q: int = Q) -> tuple[D
     """
     key = ["doc_id", "text_key"]
     every = common.materialize(common.arrow_map(docs, "doc_id long, text_key long, bucket long, anchor int, first int, last int, stretch long", _segment_rows(length, q)), "sub-segments")
-    twice = every.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1").select("bucket")
+    # Written first, so that both sides of the join are plain exchanges and AQE can split a large bucket.
+    twice = common.materialize(every.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1").select("bucket"), "sub-twice")
     active = common.materialize(every.join(twice, "bucket"), "sub-active")
     common.discard(every)
     stretches = active.groupBy("bucket", "stretch").agg(F.count("*").alias("n"), F.min(F.struct(*key, "anchor", "first", "last")).alias("one"))
