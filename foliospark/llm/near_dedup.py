@@ -11,7 +11,9 @@ documents with a long common prefix stand next to one another there, in a run. C
    other, members of different components are candidates if the run has ``MAX_RUN`` members or fewer; larger runs go
    one hash deeper, so depth follows the density of the region. At full depth no size is too large.
 4. Candidates meet in an equi-join on the run. Its condition compares sketches of ``BITS`` one-bit min-hashes, made
-   for members of such runs alone, so that pairs far from 0.75 never become rows; what is left is confirmed.
+   for members of such runs alone, and the exact distances that step 2 found to a common hub (Jaccard distance is a
+   metric: two distances further apart than 0.25 rule a link out), so that pairs far from 0.75 never become rows;
+   what is left is confirmed.
 
 Two documents of similarity 0.75 share a run of 2 hashes in one of 24 trees with probability 1 - 2e-9.
 """
@@ -34,9 +36,9 @@ TREES, DEPTH, SHALLOW = 24, 5, 2
 FIRST_TREES, FIRST_DEPTH = 8, 4
 MAX_RUN = 32
 #: Bits of two documents of similarity s are equal with probability (1 + s) / 2.
-BITS = 1024
-#: Five standard deviations below what 0.75 gives: 844 of 1024.
-LEAST_EQUAL = int(BITS * 0.875 - 5 * (BITS * 0.875 * 0.125) ** 0.5)
+BITS = 2048
+#: 4.5 standard deviations below what 0.75 gives.
+LEAST_EQUAL = int(BITS * 0.875 - 4.5 * (BITS * 0.875 * 0.125) ** 0.5)
 SIGNATURE = TREES * DEPTH
 BROADCAST_ROWS = 500_000
 _BLOCK = 2048
@@ -116,13 +118,15 @@ def _sets(words: HashWords, part) -> dict:
 
 
 def _confirmed(pairs: DataFrame, plain: DataFrame) -> DataFrame:
-    """Those pairs (a, b) whose full sets are similar enough, as edges (u, v)."""
+    """Pairs (a, b) as (u, v, linked, distance), by their full sets."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
     sets = common.materialize(common.arrow_map(plain.join(common.bounded_broadcast(ids, BROADCAST_ROWS), "doc_id", "left_semi"), "doc_id long, shingles array<long>", _sets, HashWords), "near-sets")
     x = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
     y = x.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
-    edges = common.materialize(y.filter(100 * both >= PERCENT * (F.size("sa") + F.size("sb") - both)).select(F.col("a").alias("u"), F.col("b").alias("v")), "near-edges")
+    sized = y.select(F.col("a").alias("u"), F.col("b").alias("v"), both.alias("both"), (F.size("sa") + F.size("sb")).alias("sum"))
+    whole = F.col("sum") - F.col("both")
+    edges = common.materialize(sized.select("u", "v", (100 * F.col("both") >= PERCENT * whole).alias("linked"), (1 - F.col("both") / whole).alias("distance")), "near-edges")
     common.discard(sets)
     return edges
 
@@ -150,7 +154,7 @@ def _hub_pairs(classes: DataFrame) -> DataFrame:
 
 def _later_pairs(nodes: DataFrame, plain: DataFrame, max_run: int) -> DataFrame:
     """Pairs of different components in runs, deeper where runs are large."""
-    cols, leaves, rows = ("key", "doc_id", "comp", "n_shingles"), [], nodes.withColumn("key", _prefix(SHALLOW))
+    cols, leaves, rows = ("key", "doc_id", "comp", "n_shingles", "hub", "distance"), [], nodes.withColumn("key", _prefix(SHALLOW))
     for depth in range(SHALLOW, DEPTH + 1):
         runs = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key", "size")
         rows = common.materialize(rows.join(runs, "key"), "near-runs")
@@ -168,7 +172,8 @@ def _later_pairs(nodes: DataFrame, plain: DataFrame, max_run: int) -> DataFrame:
     a, b = (rows.select("key", *[F.col(c).alias(f"{c}_{s}") for c in (*cols[1:], *names)]) for s in "ab")
     small, large = F.least("n_shingles_a", "n_shingles_b"), F.greatest("n_shingles_a", "n_shingles_b")
     unequal = functools.reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{n}_a").bitwiseXOR(F.col(f"{n}_b"))) for n in names])
-    near = (a["key"] == b["key"]) & (F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("comp_a") != F.col("comp_b")) & (100 * small >= PERCENT * large) & (unequal <= BITS - LEAST_EQUAL)
+    apart = F.coalesce((F.col("hub_a") == F.col("hub_b")) & (F.abs(F.col("distance_a") - F.col("distance_b")) > 1 - PERCENT / 100 + 1e-9), F.lit(False))
+    near = (a["key"] == b["key"]) & (F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("comp_a") != F.col("comp_b")) & (100 * small >= PERCENT * large) & ~apart & (unequal <= BITS - LEAST_EQUAL)
     return a.join(b, near).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
 
 
@@ -186,13 +191,15 @@ def link(docs: DataFrame, id_col="doc_id", text_col="text", max_run: int = MAX_R
 
     # Rows that share an id can differ in text; they are one node.
     equal = members.filter("rep <> doc_id").select(F.col("rep").alias("u"), F.col("doc_id").alias("v")).distinct()
-    edges = _confirmed(common.materialize(_hub_pairs(classes), "near-hubs"), plain)
-    comps = common.materialize(components(edges), "near-components")
+    met = _confirmed(common.materialize(_hub_pairs(classes), "near-hubs"), plain)
+    comps = common.materialize(components(met.filter("linked").select("u", "v")), "near-components")
+    own = met.select(F.col("u").alias("doc_id")).distinct().select("doc_id", F.col("doc_id").alias("hub"), F.lit(0.0).alias("distance"))
+    hubs = own.union(met.select(F.col("v").alias("doc_id"), F.col("u").alias("hub"), "distance").join(own.select("doc_id"), "doc_id", "left_anti")).groupBy("doc_id").agg(F.min(F.struct("hub", "distance")).alias("h")).select("doc_id", "h.*")
 
-    placed = classes.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", "sig", F.coalesce("component", "doc_id").alias("comp"))
+    placed = classes.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(hubs, "doc_id", "left").select("doc_id", "n_shingles", "sig", F.coalesce("component", "doc_id").alias("comp"), "hub", "distance")
     placed = common.materialize(placed, "near-placed")
-    pairs = common.materialize(_later_pairs(_nodes(placed, TREES, "n_shingles", "comp"), plain, max_run), "near-pairs")
-    more = _confirmed(pairs, plain)
+    pairs = common.materialize(_later_pairs(_nodes(placed, TREES, "n_shingles", "comp", "hub", "distance"), plain, max_run), "near-pairs")
+    more = _confirmed(pairs, plain).filter("linked").select("u", "v")
 
     trees = comps.filter("node <> component").select(F.col("component").alias("u"), F.col("node").alias("v"))
     final = components(trees.union(more).union(equal))
