@@ -1,10 +1,9 @@
 """Operation catalog, typed linear pipelines and batches with failures as rows."""
 
-from __future__ import annotations
-
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,8 +110,6 @@ def attempt(function: Callable[[bytes], bytes], data: Column, retries: int = 0)
     """Apply a Python function to binary rows; errors become struct(ok, value, error, attempts), never a failed job."""
     if not 0 <= retries <= MAX_RETRIES:
         raise ValueError("at most 3 retries")
-    import pandas as pd
-
     @F.pandas_udf("struct<ok: boolean, value: binary, error: string, attempts: int>")
     def tried(values: pd.Series) -> pd.DataFrame:
         rows = []
