@@ -116,9 +116,9 @@ def page_distance(spark, sf):
 
 @query()
 def align_pages(spark, sf):
-    """Conversations 2k and 2k+1 as page sequences, aligned by length profile, text and size."""
-    words = F.slice(F.transform(F.split("text", " "), lambda w: F.length(w).cast("int")), 1, 64)
-    page = F.struct("page_no", words.alias("fingerprint"), text.fingerprint(F.substring("text", 1, 40)).alias("text_fp"), "width", "height")
+    """Conversations 2k and 2k+1 as page sequences, aligned by the lengths of all words, whole text and size."""
+    words = F.transform(F.split("text", " "), lambda w: F.length(w).cast("int"))
+    page = F.struct("page_no", words.alias("fingerprint"), text.fingerprint(F.col("text")).alias("text_fp"), "width", "height")
     p = pages_of(spark, sf).groupBy("doc_id").agg(F.array_sort(F.collect_list(page)).alias("x"))
     a, b = (p.filter(F.pmod("doc_id", F.lit(2)) == k).select(F.floor(F.col("doc_id") / 2).alias("pair_id"), F.col("x").alias(s)) for k, s in ((0, "a"), (1, "b")))
     return A.align(a.join(b, "pair_id"))

@@ -16,3 +16,10 @@ def test_every_document_has_a_fingerprint(spark, tmp_path):
     got = run(spark, tmp_path, "text_fingerprint", "documents", [{"doc_id": k, "text": t} for k, t in enumerate(texts)])
     want = {k: fingerprint(t or "") for k, t in enumerate(texts)}
     assert {r.doc_id: (r.first_lane, r.length_part) for r in got} == {k: (f[:8], f[16:]) for k, f in want.items()} and len(got) == len(texts)
+
+
+def test_pages_that_differ_late_are_other_pages(spark, tmp_path):
+    start = "word " * 70
+    turns = [(0, 0, start + "abcde"), (1, 0, start + "ab cd"), (1, 1, start + "abcde")]
+    got = run(spark, tmp_path, "align_pages", "conversations", [{"conv_id": c, "turn": t, "role": "user", "text": x} for c, t, x in turns])
+    assert sorted((r.seq, r.a_ord, r.b_ord) for r in got) == [(0, None, 0), (1, 0, 1)]
