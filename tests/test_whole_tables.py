@@ -23,3 +23,14 @@ def test_pages_that_differ_late_are_other_pages(spark, tmp_path):
     turns = [(0, 0, start + "abcde"), (1, 0, start + "ab cd"), (1, 1, start + "abcde")]
     got = run(spark, tmp_path, "align_pages", "conversations", [{"conv_id": c, "turn": t, "role": "user", "text": x} for c, t, x in turns])
     assert sorted((r.seq, r.a_ord, r.b_ord) for r in got) == [(0, None, 0), (1, 0, 1)]
+
+
+def test_all_parts_become_books(spark, tmp_path):
+    keys = [1999, 2000, 3999, 4000, 25000]
+    rows = [{"p_partkey": k, "p_name": f"n{k}", "p_size": k} for k in keys]
+    got = run(spark, tmp_path, "sparse_cells_to_grid", "part", rows)
+    names = sorted(v for r in got for v in r.line.split(",") if v)
+    assert names == sorted(f"n{k}" for k in keys) and {r.book for r in got} == {k // 20 for k in keys}
+    got = run(spark, tmp_path, "xlsx_rows", "part", rows)
+    names = sorted(v for r in got for v in r.line.split(",") if v)
+    assert names == sorted(str(k) if k % 3 == 0 else f"n{k}" for k in keys) and {r.book for r in got} == {k // 50 for k in keys}
