@@ -2,8 +2,9 @@
 
 Numbers, names and units become typed placeholders, so that a benchmark question and copies of it with other numbers
 or names are one template. Windows of ``WINDOW`` canonical words are hashed and joined with those of the benchmark. A
-document that holds enough of an item's windows is compared with it slot by slot: each value of the item must stand
-for one value of the document and the other way round, else the likeness is that of a form, not of a question.
+document that holds enough of an item's windows is compared with it slot by slot, at each place where they meet: each
+value of the item must stand for one value of the document and the other way round, else the likeness is that of a form,
+not of a question. The windows of the places that pass must be enough again, each counted once.
 
 The documents are read and canonicalised in one projection and exploded into windows that meet the benchmark's in a
 hash join: broadcast if a count proves the benchmark's windows few, else shuffled by window.
@@ -65,14 +66,16 @@ def _is_slot(word: Column) -> Column:
 
 
 def _items(benchmark: DataFrame, id_col: str, text_col: str, window: int, min_literal: int) -> tuple[DataFrame, DataFrame]:
-    """Templates (one for items of one valued text) and their windows."""
+    """Templates (one for items of one valued text) and their windows; of an item whose windows are all too common, all
+    of them, and it counts as form_only."""
     texts = benchmark.select(F.col(id_col).cast("long").alias("item_id"), valued(F.col(text_col)).alias("v")).filter("v <> ''").groupBy("v").agg(F.min("item_id").alias("item_id"))
     words = texts.select("item_id", "v", _words(F.col("v")).alias("item_values"), _words(canonical(F.col("v"))).alias("w"))
     literal = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - window + 1, F.lit(1))), lambda i: F.size(F.filter(F.slice("w", i, window), lambda x: ~_is_slot(x))))
-    rows = words.withColumn("x", F.arrays_zip(_windows(F.col("w"), window).alias("hash"), literal.alias("literal")))
-    rows = rows.select("item_id", "v", F.col("item_values"), F.posexplode("x").alias("item_at", "x")).select("item_id", "item_values", "item_at", F.col("x.hash").alias("hash"), F.col("x.literal").alias("literal"))
-    rows = common.materialize(rows.filter(F.col("literal") >= F.least(F.lit(min_literal), F.ceil(F.size("item_values") / 2))), "bench-windows")
-    sizes = rows.groupBy("item_id").agg(F.count("*").alias("item_windows"), F.first("item_values").alias("item_values"))
+    least = F.least(F.lit(min_literal), F.ceil(F.size("item_values") / 2))
+    rows = words.withColumn("x", F.arrays_zip(_windows(F.col("w"), window).alias("hash"), literal.alias("literal"))).withColumn("form_only", F.array_max("x.literal") < least)
+    rows = rows.select("item_id", "item_values", "form_only", F.posexplode("x").alias("item_at", "x")).select("item_id", "item_values", "form_only", "item_at", F.col("x.hash").alias("hash"), F.col("x.literal").alias("literal"))
+    rows = common.materialize(rows.filter((F.col("literal") >= least) | F.col("form_only")), "bench-windows")
+    sizes = rows.groupBy("item_id").agg(F.count("*").alias("item_windows"), F.first("item_values").alias("item_values"), F.first("form_only").alias("form_only"))
     return sizes, rows.select("item_id", "item_at", "hash")
 
 
@@ -81,8 +84,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_co
     kind (``exact``: all slots have the item's values, else ``reparameterised``).
 
     Items of equal valued text count as the one of the smallest id. Null and empty texts, of documents or items, have
-    no windows and no rows; items shorter than a window are looked for as they stand. Repeated rows of a document
-    count once. An empty benchmark gives no rows.
+    no windows and no rows; items shorter than a window are looked for as they stand, and items of hardly more than
+    slots only with their own values. Repeated rows of a document count once. An empty benchmark gives no rows.
     """
     sizes, windows = _items(benchmark, item_col, item_text_col, window, min_literal)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -96,11 +99,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_co
     met = parts[0].join(right, "hash")
     for p in parts[1:]:
         met = met.union(p.join(right, "hash"))
-    lines = met.groupBy("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift")).agg(F.count_distinct("item_at").alias("n"), F.min("item_at").alias("first"), F.max("item_at").alias("last"))
-    # A copy with words put in or left out lies on several lines; their windows are added up, the longest is compared.
-    best = F.max(F.struct("n", (-F.col("shift")).alias("back"), "first", "last")).alias("b")
-    found = lines.groupBy("doc_id", "item_id").agg(F.sum("n").alias("sum"), best)
-    near = common.materialize(found.join(sizes, "item_id").withColumn("n_windows", F.least("sum", "item_windows")).filter(F.col("n_windows") >= min_coverage * F.col("item_windows")).select("doc_id", "item_id", "n_windows", "item_windows", "item_values", (-F.col("b.back")).alias("shift"), F.col("b.first").alias("first"), F.col("b.last").alias("last")), "bench-near")
+    # A copy with words put in or left out lies on several lines, and a form can be filled in more than once.
+    cells = common.materialize(met.select("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift"), "item_at").distinct(), "bench-cells")
+    enough = F.col("n_windows") >= min_coverage * F.col("item_windows")
+    found = cells.groupBy("doc_id", "item_id").agg(F.count_distinct("item_at").alias("n_windows")).join(sizes, "item_id").filter(enough).drop("n_windows")
+    lines = cells.groupBy("doc_id", "item_id", "shift").agg(F.collect_list("item_at").alias("ats"), F.min("item_at").alias("first"), F.max("item_at").alias("last"))
+    near = common.materialize(lines.join(found, ["doc_id", "item_id"]), "bench-near")
     ids = near.select("doc_id").distinct()
     sources = plain.join(common.bounded_broadcast(ids, BROADCAST_ROWS), "doc_id", "left_semi").select("doc_id", _words(valued(F.col("text"))).alias("doc_values"))
     both = near.join(sources, "doc_id")
@@ -112,8 +116,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_co
     checked = both.withColumn("pairs", pairs).filter(2 * F.size("pairs") >= F.size(places))
     one_to_one = (F.size(F.array_distinct("pairs")) == F.size(F.array_distinct("pairs.i"))) & (F.size(F.array_distinct("pairs")) == F.size(F.array_distinct("pairs.d")))
     exact = F.forall("pairs", lambda x: x["i"] == x["d"])
-    rows = checked.filter(one_to_one | exact).groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max("item_windows").alias("item_windows"), F.max(F.size("pairs")).cast("long").alias("n_slots"), F.max(exact.cast("int")).alias("exact"))
-    return rows.select("doc_id", "item_id", "n_windows", "item_windows", F.round(F.col("n_windows") / F.col("item_windows"), 6).alias("coverage"), "n_slots", F.when(F.col("exact") == 1, "exact").otherwise("reparameterised").alias("kind"))
+    # The longest line that passes gives the kind.
+    best = F.max(F.struct(F.size("ats").alias("n"), exact.cast("int").alias("exact"), F.size("pairs").cast("long").alias("n_slots"))).alias("b")
+    covered = F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).cast("long").alias("n_windows")
+    rows = checked.filter((one_to_one & ~F.col("form_only")) | exact).groupBy("doc_id", "item_id").agg(covered, F.max("item_windows").alias("item_windows"), best).filter(enough)
+    return rows.select("doc_id", "item_id", "n_windows", "item_windows", F.round(F.col("n_windows") / F.col("item_windows"), 6).alias("coverage"), F.col("b.n_slots").alias("n_slots"), F.when(F.col("b.exact") == 1, "exact").otherwise("reparameterised").alias("kind"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", **options) -> DataFrame:
