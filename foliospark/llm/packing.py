@@ -24,8 +24,10 @@ from .words import WordBpe
 
 CAPACITY = 4096
 END_ID = 2
-#: Queues at most; beyond it, sources share queues by hash, which keeps the plan's per-window work bounded.
+#: Of older callers; without effect.
 MAX_QUEUES = 256
+#: Cells of the tables of (row, queue) that are held at once.
+CELLS = 1 << 20
 #: Rows of the (partition, queue) table up to which it is broadcast; beyond, a shuffled join.
 BROADCAST_ROWS = 1_000_000
 
@@ -76,10 +78,13 @@ class Mixture:
                 break
             ahead = np.where(count < self.totals[None, :], self.deadline(queues[None, :], count), np.inf)
             behind = np.where(count > 0, self.deadline(queues[None, :], count - 1), -np.inf)
-            more, less = diff > 0, diff < 0
-            count[rows[more], ahead.argmin(1)[more]] += 1
-            last = len(queues) - 1 - behind[:, ::-1].argmax(1)
-            count[rows[less], last[less]] -= 1
+            # The first of the next tokens, or the last of those taken, one of a queue at most.
+            up, down = ahead.argsort(1, kind="stable"), len(queues) - 1 - (-behind[:, ::-1]).argsort(1, kind="stable")
+            some = queues[None, :]
+            r, c = np.nonzero((some < diff[:, None]) & np.isfinite(np.take_along_axis(ahead, up, 1)))
+            count[r, up[r, c]] += 1
+            r, c = np.nonzero((some < -diff[:, None]) & np.isfinite(np.take_along_axis(behind, down, 1)))
+            count[r, down[r, c]] -= 1
         # One token may stand on the wrong side of another after the steps above: swap until in order.
         while len(n):
             ahead = np.where(count < self.totals[None, :], self.deadline(queues[None, :], count), np.inf)
@@ -95,6 +100,13 @@ class Mixture:
 
     def rank(self, queue: np.ndarray, j: np.ndarray) -> np.ndarray:
         """The place in the order of the j-th token of a queue."""
+        step = self.rows_at_once()
+        return np.concatenate([self._rank(queue[k : k + step], j[k : k + step]) for k in range(0, max(len(j), 1), step)])
+
+    def rows_at_once(self) -> int:
+        return max(1, CELLS // max(len(self.totals), 1))
+
+    def _rank(self, queue: np.ndarray, j: np.ndarray) -> np.ndarray:
         t = self.deadline(queue, j)
         queues = np.arange(len(self.totals))[None, :]
         count = np.clip(np.floor(t[:, None] * self.share[None, :] + 0.5).astype(np.int64), 0, self.totals[None, :])
@@ -124,16 +136,18 @@ class Mixture:
         count = last - first + 1
         run = np.repeat(np.arange(len(some)), count)
         window = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        needed, at = np.unique(np.concatenate([window, window + 1]), return_inverse=True)
-        given = self.given(needed * self.capacity)
-        k = len(window)
-        before, after = given[at[:k]], given[at[k:]]
-        own = q[run]
-        rows = np.arange(k)
-        low, high = before[rows, own], after[rows, own]
+        own, k, step = q[run], len(window), self.rows_at_once()
+        low, high, offset = (np.zeros(k, np.int64) for _ in range(3))
+        for c in range(0, k, step):
+            part = slice(c, min(c + step, k))
+            needed, at = np.unique(np.concatenate([window[part], window[part] + 1]), return_inverse=True)
+            given, rows = self.given(needed * self.capacity), np.arange(part.stop - c)
+            before, after = given[at[: len(rows)]], given[at[len(rows) :]]
+            low[part], high[part] = before[rows, own[part]], after[rows, own[part]]
+            size = after - before
+            offset[part] = (np.cumsum(size, 1) - size)[rows, own[part]]
         a, b = np.maximum(low, s[run]), np.minimum(high, s[run] + n[run])
-        size = after - before
-        offset = (np.cumsum(size, 1) - size)[rows, own] + (a - low)
+        offset += a - low
         keep = b > a
         return some[run[keep]], (a - s[run])[keep], (b - a)[keep], window[keep], offset[keep]
 
@@ -174,7 +188,8 @@ def pack(
     """Pack all documents into windows of at most ``capacity`` tokens.
 
     shares: target proportion of each source (others: 0); default the sources' own, so that all queues end together.
-    When a queue runs dry, those that are left share its part.
+    When a queue runs dry, those that are left share its part. Every source is a queue of its own at any number of them;
+    max_queues has no effect and is taken for older callers.
 
     Null text counts as empty (one piece: the end id); null source is a queue of its own; repeated ids are separate
     documents; an empty table gives no rows. Returns a row per piece: doc_id, start, length, ids_crc32, doc_tokens,
@@ -188,9 +203,7 @@ def pack(
     tokens = common.materialize(plain.mapInArrow(run, schema), "pack-tokens")
 
     parts = common.materialize(tokens.groupBy("pid", "queue").agg(F.sum("n").alias("n")), "pack-parts")
-    hashed = parts.select("queue").distinct().limit(max_queues + 1).count() > max_queues
-    slot = F.format_string("%d", F.pmod(F.xxhash64("queue"), F.lit(max_queues))) if hashed else F.col("queue")
-    lanes = parts.withColumn("lane", slot)
+    lanes = parts.withColumn("lane", F.col("queue"))
     totals = {r["lane"]: r["n"] for r in lanes.groupBy("lane").agg(F.sum("n").alias("n")).collect()}
     names = sorted(totals)
     number = {x: i for i, x in enumerate(names)}
