@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from . import common
 
 MIN_LENGTH = 16
-MAX_LENGTH = 512
 TREES, MAX_DEPTH, SEED = 30, 8, 17
 THRESHOLD = 0.5
 #: Generated findings of each template.
@@ -34,9 +33,9 @@ BENIGN_CUES = ("commit", "sha", "sha1", "sha256", "md5", "checksum", "digest", "
 PIECES = ("the", "ing", "tion", "and", "ent", "ion", "her", "for", "tha", "nth", "int", "ere", "ter", "est", "ers", "ati", "hat", "ate", "all", "eth", "hes", "ver", "his", "oft", "ith", "fth", "sth", "oth", "res", "ont", "der", "sch", "ein", "ich", "que", "les", "ment", "ung", "ado", "con", "test", "user", "data", "name", "page", "index", "image", "video", "main", "config", "default", "example")
 
 _CANDIDATE = r"[A-Za-z0-9+/_=.-]"
-#: A candidate; and the place in front of one.
-FIND = rf"(?<![A-Za-z0-9+/_=.-]){_CANDIDATE}{{{MIN_LENGTH},{MAX_LENGTH}}}(?![A-Za-z0-9+/_=.-])"
-_SPLIT = rf"(?<![A-Za-z0-9+/_=.-])(?={_CANDIDATE}{{{MIN_LENGTH},{MAX_LENGTH}}}(?![A-Za-z0-9+/_=.-]))"
+#: What begins a run of any length; and the place in front of one.
+FIND = rf"(?<![A-Za-z0-9+/_=.-]){_CANDIDATE}{{{MIN_LENGTH}}}"
+_SPLIT = rf"(?<![A-Za-z0-9+/_=.-])(?={_CANDIDATE}{{{MIN_LENGTH}}})"
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -135,7 +134,7 @@ def candidates(docs: DataFrame, id_col="doc_id", text_col="text", path_col: str
     pieces = some.select("doc_id", "path", F.split("text", _SPLIT).alias("p"))
     starts = F.aggregate(F.col("p"), F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + F.length(x))))
     rows = pieces.select("doc_id", "path", "p", starts.alias("s")).select("doc_id", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size("p")), lambda k: F.struct(F.element_at("s", k).alias("start"), F.when(k > 1, F.right(F.element_at("p", F.greatest(k - 1, F.lit(1))), F.lit(80))).otherwise(F.lit("")).alias("before"), F.element_at("p", k).alias("piece")))).alias("x")).select("doc_id", "path", "x.*")
-    found = rows.withColumn("candidate", F.regexp_extract("piece", rf"^({_CANDIDATE}{{{MIN_LENGTH},{MAX_LENGTH}}})(?!{_CANDIDATE})", 1)).filter("candidate <> ''")
+    found = rows.withColumn("candidate", F.regexp_extract("piece", rf"^({_CANDIDATE}{{{MIN_LENGTH},}}+)", 1)).filter("candidate <> ''")
     # Sentence ends aren't part of a key.
     found = found.withColumn("candidate", F.regexp_replace("candidate", r"\.+$", "")).filter(F.regexp_like("candidate", F.lit("[0-9]|[a-z][A-Z]+[a-z]")) & (F.length("candidate") >= MIN_LENGTH))
     return found.select("doc_id", "start", F.right("before", F.lit(80)).alias("before"), "candidate", F.substring(F.col("piece"), F.length("candidate") + 1, F.lit(3)).alias("after"), "path")
