@@ -6,12 +6,16 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows handed to Python code at once; bounds a worker's memory with long texts.
+#: Rows, and bytes of strings and binaries, handed to Python code at once; a row larger than that comes alone. Word
+#: lists take some ten times the bytes of their texts, so a worker's memory is bounded by rows' own size alone.
 SLICE_ROWS = 256
+SLICE_BYTES = 2 << 20
 #: The byte whitespace that separates words in every operator here.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -21,9 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where none is set (tests), a local one."""
+    """The folder that driver and executors share. A session in one process (tests) gets a local one if none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='foliospark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -56,10 +62,28 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+def _sizes(batch: pa.RecordBatch) -> np.ndarray:
+    """Bytes of strings and binaries in each row."""
+    out = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+            out += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        elif pa.types.is_list(column.type) or pa.types.is_large_list(column.type):
+            out += 8 * pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return out
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that each part has at most ``rows`` rows and, but for a single longer one, ``size`` bytes."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        ends = np.cumsum(_sizes(batch))
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            to = min(int(np.searchsorted(ends, before + size, "right")), at + rows)
+            to = max(to, at + 1)
+            yield batch.slice(at, to - at)
+            at = to
 
 
 def arrow_map(df: DataFrame, schema: str, step: Callable, setup: Callable | None = None, rows: int = SLICE_ROWS) -> DataFrame:

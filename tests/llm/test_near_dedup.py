@@ -51,6 +51,42 @@ def test_dense_group_with_tiny_runs(spark, rng):
     assert [got[k] for k in range(len(texts))] == brute(texts)
 
 
+def test_dense_group_of_a_thousand(spark, rng):
+    """Recall 1: copies with 0 to 40 edits of one text; most pairs are near 0.75, many documents link with few others."""
+    base = words(rng, 150, 10**6)
+    texts = [edited(rng, base, k % 41) for k in range(1000)] + [words(rng, 100) for _ in range(50)]
+    want = brute(texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.link(frame(spark, texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == want
+
+
+def test_deepest_trees_alone(spark, rng):
+    base = words(rng, 150, 10**6)
+    texts = [edited(rng, base, k % 31) for k in range(200)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.link(frame(spark, texts), max_run=1, windows=()).collect()}
+    assert [got[k] for k in range(len(texts))] == brute(texts)
+
+
+def test_sketches_estimate_similarity(rng):
+    import numpy as np
+
+    random = np.random.default_rng(3)
+    shared = random.integers(0, 1 << 63, 600, dtype=np.uint64)
+    a, b = (np.unique(np.concatenate([shared, random.integers(0, 1 << 63, 100, dtype=np.uint64)])) for _ in "ab")
+    assert abs((near_dedup.signature(a) == near_dedup.signature(b)).mean() - 0.75) < 0.14
+    unequal = int(np.bitwise_count((near_dedup.bits(a) ^ near_dedup.bits(b)).view(np.uint64)).sum())
+    assert abs(unequal - near_dedup.BITS * 0.125) < 60
+
+
+def test_null_ids_and_clashing_columns(spark, rng):
+    t = words(rng, 60)
+    docs = spark.createDataFrame([(None, t, 1), (None, t, 2), (5, t, 3), (7, t, 4), (7, "b", 5), (7, "a", 9)], "doc_id long, text string, comp long")
+    rows = sorted((r.doc_id is None, r.doc_id or 0, r.component_id, r.kept) for r in near_dedup.link(docs).collect())
+    assert rows == [(False, 5, 5, True), (False, 7, 5, False), (False, 7, 5, False), (False, 7, 5, False), (True, 0, None, True), (True, 0, None, True)]
+    docs = spark.createDataFrame([(None, t, 1), (None, t, 2), (7, "b", 5), (7, "a", 9), (7, "a", 8)], "doc_id long, text string, comp long")
+    assert sorted((r.doc_id or 0, r.text, r.comp) for r in near_dedup.drop_duplicates(docs).collect()) == sorted([(0, t, 1), (0, t, 2), (7, "a", 8)])
+
+
 def test_empty_repeated_and_stage(spark, rng):
     assert near_dedup.link(spark.createDataFrame([], DOCS)).count() == 0
     t = words(rng, 50)
