@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: Rows, and bytes of strings and binaries, handed to Python code at once; a row larger than that comes alone. Word
 #: lists take some ten times the bytes of their texts, so a worker's memory is bounded by rows' own size alone.
-SLICE_ROWS = 256
+SLICE_ROWS = 2048
 SLICE_BYTES = 2 << 20
 #: The byte whitespace that separates words in every operator here.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"

@@ -219,6 +219,8 @@ def _merged(order: DataFrame, signatures: DataFrame, sets: DataFrame, windows: t
     for window in windows:
         pairs = _neighbours(_placed(order, comps), window)
         pairs = common.materialize(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "near-neighbours")
+        if pairs.isEmpty():
+            break
         seen = pairs if seen is None else seen.union(pairs)
         alike = pairs.join(signatures.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a").join(signatures.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b")
         links = _confirmed(alike.filter(_agreed("sig_a", "sig_b") >= LEAST_AGREED).select("a", "b"), sets)
@@ -275,10 +277,14 @@ def link(docs: DataFrame, id_col="doc_id", text_col="text", max_run: int = MAX_R
     met = common.materialize(order.select("doc_id").distinct(), "near-ids")
     signatures = common.materialize(classes.join(met, "doc_id", "left_semi").select("doc_id", "sig"), "near-signatures")
     sets = common.materialize(common.arrow_map(plain.join(common.bounded_broadcast(met, BROADCAST_ROWS), "doc_id", "left_semi"), "doc_id long, shingles array<long>", _full), "near-sets")
-    comps = _merged(order, signatures, sets, windows)
-    links = _confirmed(_rest(order, comps, sets, max_run), sets)
+    comps, edges = None, equal
+    if not met.isEmpty():
+        comps = _merged(order, signatures, sets, windows)
+        pairs = _rest(order, comps, sets, max_run)
+        if not pairs.isEmpty():
+            edges = equal.union(_confirmed(pairs, sets))
     common.discard(sets)
-    final = common.materialize(components(_stars(comps, links).union(equal)), "near-final").withColumnRenamed("node", "doc_id")
+    final = common.materialize(components(_stars(comps, edges)), "near-final").withColumnRenamed("node", "doc_id")
     out = members.join(final, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

@@ -26,6 +26,8 @@ CAPACITY = 4096
 END_ID = 2
 #: Of older callers; without effect.
 MAX_QUEUES = 256
+#: Bytes of text that are tokenised at once: the more, the more parts are looked up once only.
+SLICE_BYTES = 4 << 20
 #: Cells of the tables of (row, queue) that are held at once.
 CELLS = 1 << 20
 #: Rows of the (partition, queue) table up to which it is broadcast; beyond, a shuffled join.
@@ -160,8 +162,8 @@ def _tokenise(vocabulary: str, end_id: int):
         from pyspark import TaskContext
 
         words, pid, so_far = WordBpe(vocabulary), TaskContext.get().partitionId(), {}
-        for part in common.slices(batches):
-            ids, bounds = words.tokens([t.encode("utf-8", "replace").split() for t in common.texts_of(part)])
+        for part in common.slices(batches, size=SLICE_BYTES):
+            ids, bounds = words.tokens_of(common.texts_of(part))
             blobs, befores, counts = [], [], []
             queues = part.column("queue").to_pylist()
             for k, queue in enumerate(queues):

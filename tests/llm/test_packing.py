@@ -1,7 +1,10 @@
+import functools
 import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from foliospark.llm import packing
@@ -12,6 +15,12 @@ from .conftest import DOCS, words
 TEXTS = ["Hello, world! It's 12km — naïve café", "ΣΑΣ Σ", "<|endoftext|> x", "İstanbul ́combining é", "a b\x85c\x1cd", "汉字かな 한글", "don't DON'T 's", "\x00\x07 odd", "ß ẞ ǅ ﬁ ²½", "x" * 3000, "😀 family 👨‍👩‍👧", ""]
 
 
+@functools.cache
+def _bpe():
+    path = packing.default_vocabulary()
+    return WordBpe(path), Tokenizer.from_file(path)
+
+
 @pytest.fixture(scope="module")
 def library():
     return Tokenizer.from_file(packing.default_vocabulary())
@@ -19,11 +28,20 @@ def library():
 
 def test_ids_are_the_library_s(library):
     bpe = WordBpe(packing.default_vocabulary())
-    ids, bounds = bpe.tokens([t.encode().split() for t in TEXTS])
+    ids, bounds = bpe.tokens_of(TEXTS)
     for k, t in enumerate(TEXTS):
         assert ids[bounds[k] : bounds[k + 1]].tolist() == library.encode(t, add_special_tokens=False).ids, t
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("aZ é'sStTrReEvVlLmMdD’ \t\n\x85\xa0\x1c\x00\x7f<|>½²ªİſKÅ漢ß.,-_123ĺ́"), max_size=40), max_size=6))
+def test_any_text_has_the_library_s_ids(texts):
+    bpe, one = _bpe()
+    ids, bounds = bpe.tokens_of(texts)
+    for k, t in enumerate(texts):
+        assert ids[bounds[k] : bounds[k + 1]].tolist() == one.encode(t, add_special_tokens=False).ids, t
+
+
 def check(rows, want, capacity):
     """want: (doc_id, ids) of each document; every id lies in one piece, windows are filled without gaps."""
     by_doc, by_window = {}, {}
