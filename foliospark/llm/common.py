@@ -57,9 +57,16 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+#: Bytes of strings and binaries that a broadcast table has at most.
+BROADCAST_BYTES = 32 << 20
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """A broadcast hint where a count proves df small, else df itself (a shuffled join follows)."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    """A broadcast hint where counts of rows and bytes prove df small, else df itself (a shuffled join follows)."""
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    size = F.sum(sum(texts, F.lit(0)).cast("long")) if texts else F.lit(0)
+    found = df.limit(max_rows + 1).agg(F.count("*").alias("rows"), size.alias("bytes")).first()
+    return F.broadcast(df) if found["rows"] <= max_rows and (found["bytes"] or 0) <= BROADCAST_BYTES else df
 
 
 def _sizes(batch: pa.RecordBatch) -> np.ndarray:
