@@ -68,12 +68,20 @@ def repeated_words(numbers: np.ndarray) -> int:
     n = len(numbers)
     if n < 4:
         return 0
-    # Dense numbers fit 20 bits each, as the word cache is bounded.
     x = numbers.astype(np.int64)
-    keys = (x[:-2] << 42) | (x[1:-1] << 21) | x[2:]
-    order = np.argsort(keys)
-    ranked = keys[order]
-    same = ranked[1:] == ranked[:-1]
+    if x.max() >= 1 << 21:
+        x = np.unique(x, return_inverse=True)[1]
+    if x.max() < 1 << 21:  # three numbers fit one
+        keys = (x[:-2] << 42) | (x[1:-1] << 21) | x[2:]
+        order = np.argsort(keys)
+        ranked = keys[order]
+        same = ranked[1:] == ranked[:-1]
+    else:
+        order = np.lexsort((x[2:], x[1:-1], x[:-2]))
+        same = np.ones(len(order) - 1, bool)
+        for k in range(3):
+            ranked = x[order + k]
+            same &= ranked[1:] == ranked[:-1]
     if not same.any():
         return 0
     twice = np.zeros(n, bool)
