@@ -30,6 +30,8 @@ SPLIT_BYTES = 16 << 20
 CHUNK = 1 << 18
 #: A header block of more bytes isn't one.
 MAX_HEADER = 1 << 16
+#: Tasks that a read is dealt out to at most; with more ranges, a task reads several.
+MAX_TASKS = 100_000
 LEVEL = 6
 
 RECORDS = "record_id string, record_type string, target_uri string, payload_bytes long, payload_digest string, refers_to string, payload binary, path string, offset long"
@@ -223,7 +225,9 @@ def read_warc(files: DataFrame, split_bytes: int = SPLIT_BYTES, payloads: bool =
     Ranges are dealt out one by one, so a single large file is read by as many tasks as it has ranges.
     """
     parts = files.select("path", F.col("bytes").alias("size"), F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("start"))
-    ranges = parts.repartition("path", "start")
+    # A number of its own, so that small ranges aren't put together again: a task for each, up to MAX_TASKS.
+    number = parts.agg(F.count("*").alias("n")).first()["n"]
+    ranges = parts.repartition(max(1, min(number, MAX_TASKS)), "path", "start")
 
     def run(batches):
         names = ["record_id", "record_type", "target_uri", "payload_bytes", "payload_digest", "refers_to", "payload"]
