@@ -1,7 +1,7 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest. SQL and JVM expressions only.
 
-A candidate is a run of key characters of ``MIN_LENGTH`` or more with a digit or a mix of cases; each comes with the
-words around it and the path of its document. Features: length, shares of character classes, transitions between
+A candidate is a run of key characters of ``MIN_LENGTH`` or more (and one or two ``=`` that pad it) with a digit or a
+mix of cases; each comes with the words around it and the path of its document. Features: length, shares of character classes, transitions between
 classes, distinct characters and entropy, longest run of letters, share covered by dictionary pieces, vowels, words
 before it (secret cue, benign cue, assignment, quotes), and path hints. The forest (JVM trees, fixed seed) is trained
 from labelled findings: a DataFrame of (before, candidate, after, path, label), by default a fixed number of findings
@@ -32,10 +32,11 @@ BENIGN_CUES = ("commit", "sha", "sha1", "sha256", "md5", "checksum", "digest", "
 #: Frequent pieces of words, for dictionary coverage.
 PIECES = ("the", "ing", "tion", "and", "ent", "ion", "her", "for", "tha", "nth", "int", "ere", "ter", "est", "ers", "ati", "hat", "ate", "all", "eth", "hes", "ver", "his", "oft", "ith", "fth", "sth", "oth", "res", "ont", "der", "sch", "ein", "ich", "que", "les", "ment", "ung", "ado", "con", "test", "user", "data", "name", "page", "index", "image", "video", "main", "config", "default", "example")
 
-_CANDIDATE = r"[A-Za-z0-9+/_=.-]"
+#: ``=`` parts names from values; at the end of a key it is padding.
+_CANDIDATE = r"[A-Za-z0-9+/_.-]"
 #: What begins a run of any length; and the place in front of one.
-FIND = rf"(?<![A-Za-z0-9+/_=.-]){_CANDIDATE}{{{MIN_LENGTH}}}"
-_SPLIT = rf"(?<![A-Za-z0-9+/_=.-])(?={_CANDIDATE}{{{MIN_LENGTH}}})"
+FIND = rf"(?<!{_CANDIDATE}){_CANDIDATE}{{{MIN_LENGTH}}}"
+_SPLIT = rf"(?<!{_CANDIDATE})(?={_CANDIDATE}{{{MIN_LENGTH}}})"
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -133,9 +134,9 @@ def candidates(docs: DataFrame, id_col="doc_id", text_col="text", path_col: str
     some = plain.filter(F.regexp_like("text", F.lit(FIND)))
     pieces = some.select("doc_id", "path", F.split("text", _SPLIT).alias("p"))
     starts = F.aggregate(F.col("p"), F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + F.length(x))))
-    rows = pieces.select("doc_id", "path", "p", starts.alias("s")).select("doc_id", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size("p")), lambda k: F.struct(F.element_at("s", k).alias("start"), F.when(k > 1, F.right(F.element_at("p", F.greatest(k - 1, F.lit(1))), F.lit(80))).otherwise(F.lit("")).alias("before"), F.element_at("p", k).alias("piece")))).alias("x")).select("doc_id", "path", "x.*")
-    found = rows.withColumn("candidate", F.regexp_extract("piece", rf"^({_CANDIDATE}{{{MIN_LENGTH},}}+)", 1)).filter("candidate <> ''")
-    # Sentence ends aren't part of a key.
+    rows = pieces.select("doc_id", "path", "p", starts.alias("s")).select("doc_id", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size("p")), lambda k: F.struct(F.element_at("s", k).alias("start"), F.when(k > 1, F.right(F.element_at("p", F.greatest(k - 1, F.lit(1))), F.lit(80))).otherwise(F.lit("")).alias("before"), F.element_at("p", k).alias("piece"), F.when(k < F.size("p"), "A").otherwise("").alias("next")))).alias("x")).select("doc_id", "path", "x.*")
+    found = rows.withColumn("candidate", F.regexp_extract(F.concat("piece", "next"), rf"^({_CANDIDATE}{{{MIN_LENGTH},}}+(?:={{1,2}}(?![A-Za-z0-9+/_.=-]))?)", 1)).filter("candidate <> ''")
+    # What the next candidate begins with shows that = before it is no padding. Sentence ends aren't part of a key.
     found = found.withColumn("candidate", F.regexp_replace("candidate", r"\.+$", "")).filter(F.regexp_like("candidate", F.lit("[0-9]|[a-z][A-Z]+[a-z]")) & (F.length("candidate") >= MIN_LENGTH))
     return found.select("doc_id", "start", F.right("before", F.lit(80)).alias("before"), "candidate", F.substring(F.col("piece"), F.length("candidate") + 1, F.lit(3)).alias("after"), "path")
 
