@@ -25,7 +25,7 @@ BROADCAST_ROWS = 200_000
 #: Units that follow a number.
 UNITS = ("mm", "cm", "m", "km", "inch", "inches", "foot", "feet", "ft", "yard", "yards", "mile", "miles", "mg", "g", "kg", "gram", "grams", "kilograms", "ton", "tons", "tonnes", "lb", "lbs", "pound", "pounds", "ounce", "ounces", "oz", "ml", "l", "liter", "liters", "litre", "litres", "gallon", "gallons", "s", "sec", "seconds", "min", "minute", "minutes", "h", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "percent", "dollar", "dollars", "usd", "eur", "euro", "euros", "cents", "degrees", "celsius", "fahrenheit", "kmh", "mph", "watts", "volts", "joules", "newtons", "mol")
 
-_NAME = r"([\p{L}\p{N},;>] )(\p{Lu}\p{Ll}+)"
+_NAME = r"(?<=[\p{L}\p{N},;>] )(\p{Lu}\p{Ll}+)"
 #: A number stands alone or with a unit; digits inside words are letters of them.
 _NUMBER = r"(?<![\p{L}0-9])[0-9]+(?=(" + "|".join(UNITS) + r")?(?![\p{L}0-9]))"
 _UNIT = r"(<num[0-9]+> )(" + "|".join(UNITS) + r")( |$)"
@@ -38,10 +38,8 @@ def valued(text: Column) -> Column:
     counts as empty.
     """
     t = F.regexp_replace(F.translate(F.coalesce(text.cast("string"), F.lit("")), "<>#*$%&|_~^`", "  "), "[\\x20\\t]+", " ")
-    for _ in range(2):  # neighbours share a letter, which one pass uses up
-        t = F.regexp_replace(t, _NAME, "$1<name$2>")
-    for _ in range(2):
-        t = F.regexp_replace(t, r"([0-9])[.,]([0-9])", "$1$2")
+    t = F.regexp_replace(t, _NAME, "<name$1>")
+    t = F.regexp_replace(t, r"(?<=[0-9])[.,](?=[0-9])", "")
     t = F.regexp_replace(t, _NUMBER, "<num$0>")
     t = F.trim(F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}<>]+", " "))
     return F.regexp_replace(t, _UNIT, "$1<unit$2>$3")
@@ -52,7 +50,8 @@ def canonical(valued_text: Column) -> Column:
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(text, " "), lambda w: w != "")
+    """Words of a text that valued() has made: one space between them."""
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, " "))
 
 
 def _windows(words: Column, size: int) -> Column:
