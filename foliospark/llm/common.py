@@ -93,6 +93,38 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int
             at = to
 
 
+def _release() -> None:
+    """Give what a finished task has freed back to the system: workers are kept for later tasks."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
+#: Rows and bytes of the batches that Spark hands to Python workers; the session's own settings where they are less.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2048, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def map_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """mapInArrow with batches that are bounded in bytes, in workers that keep no memory after a task."""
+
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    for name, most in BATCH.items():
+        now = df.sparkSession.conf.get(name)
+        if not now.isdigit() or not 0 < int(now) <= most:  # with a unit or without bound
+            df.sparkSession.conf.set(name, most)
+    return df.mapInArrow(tidy, schema)
+
+
 def arrow_map(df: DataFrame, schema: str, step: Callable, setup: Callable | None = None, rows: int = SLICE_ROWS) -> DataFrame:
     """Map slices of df to dicts of columns. setup() runs once per task and its result goes to step(state, batch)."""
 
@@ -107,7 +139,7 @@ def arrow_map(df: DataFrame, schema: str, step: Callable, setup: Callable | None
     from pyspark.sql.types import _parse_datatype_string
 
     fields = to_arrow_schema(_parse_datatype_string(schema))
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:

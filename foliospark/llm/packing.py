@@ -202,7 +202,7 @@ def pack(
     source = F.coalesce(F.col(source_col).cast("string"), F.lit("")) if source_col else F.lit("")
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), source.alias("queue"))
     run, schema = _tokenise(vocabulary, end_id)
-    tokens = common.materialize(plain.mapInArrow(run, schema), "pack-tokens")
+    tokens = common.materialize(common.map_batches(plain, run, schema), "pack-tokens")
 
     parts = common.materialize(tokens.groupBy("pid", "queue").agg(F.sum("n").alias("n")), "pack-parts")
     lanes = parts.withColumn("lane", F.col("queue"))

@@ -279,7 +279,7 @@ def mask(docs: DataFrame, id_col="doc_id", text_col="text", length_col="n_chars"
                 cols[at] = pa.array([t if t is None or not m else mask_text(t, m) for t, m in zip(cols[at].to_pylist(), marks, strict=True)], cols[at].type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    masked = joined_.mapInArrow(run, docs.schema)
+    masked = common.map_batches(joined_, run, docs.schema)
     if length_col in names:
         masked = masked.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
     return masked

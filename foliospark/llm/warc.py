@@ -216,7 +216,7 @@ def write_warc(pages: DataFrame, folder: str, id_col="page_id", url_col="url", h
             fs.move(mine, name)
             yield pa.RecordBatch.from_pydict({"path": [f"{folder}/part-{n:06d}.warc.gz"], "bytes": [size], "records": [records]}, schema=pa.schema([("path", pa.string()), ("bytes", pa.int64()), ("records", pa.int64())]))
 
-    return placed.mapInArrow(run, "path string, bytes long, records long")
+    return common.map_batches(placed, run, "path string, bytes long, records long")
 
 
 def read_warc(files: DataFrame, split_bytes: int = SPLIT_BYTES, payloads: bool = True) -> DataFrame:
@@ -253,7 +253,7 @@ def read_warc(files: DataFrame, split_bytes: int = SPLIT_BYTES, payloads: bool =
     def emit(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    return ranges.mapInArrow(run, RECORDS)
+    return common.map_batches(ranges, run, RECORDS)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,8 @@ bounded however many distinct words the corpus has.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 
 LIMIT = 600_000
@@ -146,9 +148,8 @@ class WordBpe(TokenWords):
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tiktoken import _tiktoken
-        from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         split = next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
@@ -172,6 +173,13 @@ class WordBpe(TokenWords):
         self.merge = _tiktoken.CoreBPE(ranks, {}, r"\S+").encode_single_piece
         super().__init__()
 
+    @functools.cached_property
+    def library(self):
+        """Loaded where a text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     @staticmethod
     def _byte_letters() -> dict[str, int]:
         """The printable stand-ins of byte-level vocabularies: printable bytes as they are, others from U+0100 on."""
