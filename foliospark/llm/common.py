@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Rows, and bytes of strings and binaries, handed to Python code at once; a row larger than that comes alone. Word
 #: lists take some ten times the bytes of their texts, so a worker's memory is bounded by rows' own size alone.
 SLICE_ROWS = 2048
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: The byte whitespace that separates words in every operator here.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -106,7 +106,7 @@ def _release() -> None:
 
 
 #: Rows and bytes of the batches that Spark hands to Python workers; the session's own settings where they are less.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2048, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2048, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
 
 def map_batches(df: DataFrame, run: Callable, schema) -> DataFrame:

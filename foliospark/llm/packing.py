@@ -27,7 +27,7 @@ END_ID = 2
 #: Of older callers; without effect.
 MAX_QUEUES = 256
 #: Bytes of text that are tokenised at once: the more, the more parts are looked up once only.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 3 << 19
 #: Cells of the tables of (row, queue) that are held at once.
 CELLS = 1 << 20
 #: Rows of the (partition, queue) table up to which it is broadcast; beyond, a shuffled join.
