@@ -5,7 +5,7 @@ their sequence; documents with a long common prefix stand next to one another in
 
 1. Documents of equal shingle sets are one class; from here on a class is its smallest document.
 2. Rounds over all orders: each document and those shortly before it (``WINDOWS``) are candidates, if their common
-   prefix has ``SHALLOW`` hashes or more and they are in different components. Candidates whose signatures agree are
+   prefix is long enough and they are in different components. Candidates whose signatures agree are
    confirmed, links merge components, and the next round's neighbours are those of other components. A region of near copies thus costs a
    few pairs for each member and order. An order is dealt out by ranges of the whole sort key, so no run, however
    large, lands in one task.
@@ -38,8 +38,8 @@ TREES, DEPTH, SHALLOW = 24, 5, 2
 #: Depth and number of trees, for documents of runs that were too large at the level before.
 LEVELS = ((3, 32), (5, 56))
 MAX_RUN = 256
-#: Places in the orders that a round looks back.
-WINDOWS = (1, 4)
+#: For each round: places in the orders that it looks back, and the least common prefix, longer for farther looks.
+WINDOWS = ((1, 2), (4, 4))
 SIGNATURE = TREES * DEPTH
 DEVIATIONS = 4.5
 #: Hashes of SIGNATURE that agree in all but the last 3e-6 of pairs of similarity 0.75.
@@ -156,7 +156,7 @@ def _of_size(a: str, b: str):
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
-def _neighbours(order: DataFrame, window: int) -> DataFrame:
+def _neighbours(order: DataFrame, window: int, prefix: int) -> DataFrame:
     """Pairs (a, b) of neighbours in the sorted orders whose components differ. Those that stand at the bounds of two
     partitions are left to what follows the rounds."""
     key = ["tree", *[f"h{k}" for k in range(DEPTH)], "comp", "doc_id"]
@@ -175,7 +175,7 @@ def _neighbours(order: DataFrame, window: int) -> DataFrame:
                 new = max(done, back)
                 x, y = rows[new - back : len(rows) - back], rows[new:]
                 small, large = np.minimum(x[:, -1], y[:, -1]), np.maximum(x[:, -1], y[:, -1])
-                near = (x[:, : SHALLOW + 1] == y[:, : SHALLOW + 1]).all(1) & (x[:, -3] != y[:, -3]) & (100 * small >= PERCENT * large)
+                near = (x[:, : prefix + 1] == y[:, : prefix + 1]).all(1) & (x[:, -3] != y[:, -3]) & (100 * small >= PERCENT * large)
                 found.append(np.sort(np.column_stack([x[near, -2], y[near, -2]]), 1))
             if found:
                 ids = np.unique(np.vstack(found), axis=0)
@@ -213,11 +213,11 @@ def _order(classes: DataFrame) -> DataFrame:
     return common.materialize(rows.join(shared, "key"), "near-order")
 
 
-def _merged(order: DataFrame, signatures: DataFrame, sets: DataFrame, windows: tuple) -> DataFrame | None:
-    """Components after some rounds of neighbours."""
+def _merged(order: DataFrame, signatures: DataFrame, sets: DataFrame, windows: tuple) -> tuple[DataFrame | None, DataFrame | None]:
+    """Components after some rounds of neighbours, and the pairs (a, b) that were compared."""
     comps, seen = None, None
-    for window in windows:
-        pairs = _neighbours(_placed(order, comps), window)
+    for window, prefix in windows:
+        pairs = _neighbours(_placed(order, comps), window, prefix)
         pairs = common.materialize(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "near-neighbours")
         if pairs.isEmpty():
             break
@@ -226,7 +226,7 @@ def _merged(order: DataFrame, signatures: DataFrame, sets: DataFrame, windows: t
         links = _confirmed(alike.filter(_agreed("sig_a", "sig_b") >= LEAST_AGREED).select("a", "b"), sets)
         if not links.isEmpty():
             comps = common.materialize(components(_stars(comps, links)), "near-components")
-    return comps
+    return comps, seen
 
 
 def _rest(order: DataFrame, comps: DataFrame | None, sets: DataFrame, max_run: int) -> DataFrame:
@@ -279,8 +279,10 @@ def link(docs: DataFrame, id_col="doc_id", text_col="text", max_run: int = MAX_R
     sets = common.materialize(common.arrow_map(plain.join(common.bounded_broadcast(met, BROADCAST_ROWS), "doc_id", "left_semi"), "doc_id long, shingles array<long>", _full), "near-sets")
     comps, edges = None, equal
     if not met.isEmpty():
-        comps = _merged(order, signatures, sets, windows)
+        comps, seen = _merged(order, signatures, sets, windows)
         pairs = _rest(order, comps, sets, max_run)
+        if seen is not None:
+            pairs = common.materialize(pairs.join(seen, ["a", "b"], "left_anti"), "near-left")
         if not pairs.isEmpty():
             edges = equal.union(_confirmed(pairs, sets))
     common.discard(sets)
