@@ -99,7 +99,8 @@ def png_size(data: Column) -> Column:
     return F.when(F.hex(F.substring(data, 1, 8)) == "89504E470D0A1A0A", F.struct(at(17).alias("width"), at(21).alias("height")))
 
 
-#: Images go, links leave their label, then code, bold and italic leave their text: the order matters.
+#: Fixed values, which results depend on: patterns of inline Markdown and what they leave. Images go, links leave their
+#: label, then code, bold and italic leave their text: the order matters.
 INLINE = ((r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"`([^`]*)`", "$1"), (r"\*\*([^*]+)\*\*", "$1"), (r"__([^_]+)__", "$1"), (r"\*([^*]+)\*", "$1"), (r"_([^_]+)_", "$1"))
 
 
