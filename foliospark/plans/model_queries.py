@@ -51,7 +51,7 @@ def wrap_lines(spark, sf):
     return M.wrap_lines(read(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text"), 40.0, {"i": 0.25, "l": 0.25, "m": 0.8, "w": 0.75})
 
 
-@query("""with c as (select p_partkey // 20 as book, (p_partkey % 20) // 5 * 2 + 1 as row, (p_partkey * 7) % 30 + 1 as col, p_name from part where p_partkey < 4000),
+@query("""with c as (select p_partkey // 20 as book, (p_partkey % 20) // 5 * 2 + 1 as row, (p_partkey * 7) % 30 + 1 as col, p_name from part),
 u as (select book, row, col, max(p_name) as v from c group by all), w as (select book, row, max(col) as width from u group by all), n as (select book, max(row) as n from u group by book),
 r as (select book, unnest(range(1, n + 1)) as row from n),
 g as (select w.book, w.row, unnest(range(1, width + 1)) as col from w),

@@ -48,7 +48,7 @@ def docx_text(spark, sf):
     return office.docx(_files(rows, lambda p: build.docx(list(p.sort_values("turn")["text"])))).select(F.col("path").cast("long").alias("doc_id"), "text")
 
 
-@query("with c as (select p_partkey // 50 as book, (p_partkey % 50) // 10 + 1 as row, p_partkey % 10 + 1 as col, case when p_partkey % 3 = 0 then p_size::varchar else p_name end as v from part where p_partkey < 2000) select book, row, string_agg(v, ',' order by col) as line from c group by all")
+@query("with c as (select p_partkey // 50 as book, (p_partkey % 50) // 10 + 1 as row, p_partkey % 10 + 1 as col, case when p_partkey % 3 = 0 then p_size::varchar else p_name end as v from part) select book, row, string_agg(v, ',' order by col) as line from c group by all")
 def xlsx_rows(spark, sf):
     k = F.col("p_partkey")
     rows = read(spark, sf, "part").select(F.floor(k / 50).alias("doc_id"), (F.floor(F.pmod(k, F.lit(50)) / 10) + 1).alias("r"), (F.pmod(k, F.lit(10)) + 1).alias("c"), F.when(F.pmod(k, F.lit(3)) == 0, F.col("p_size").cast("string")).otherwise(F.col("p_name")).alias("v"))

@@ -97,12 +97,12 @@ def _lane(start: str, times: str, tail: str) -> str:
     return f"list_reduce(list_prepend({start}::bigint, u), lambda a, c: {tail.format(x=f'(((xor(a, c) & 65535) * {times} + ((((xor(a, c) >> 16) * {times}) & 4294967295) << 16 & 4294967295)) & 4294967295)')})"
 
 
-@query(f"""with w as (select doc_id, text from documents where length(text) < 2000),
-c as (select doc_id, list_transform(string_split(text, ''), lambda ch: unicode(ch)::bigint) as u, length(text) as n from w where text <> '')
+@query(f"""with w as (select doc_id, coalesce(text, '') as text from documents),
+c as (select doc_id, case when text = '' then cast([] as bigint[]) else list_transform(string_split(text, ''), lambda ch: unicode(ch)::bigint) end as u, length(text) as n from w)
 select doc_id, lpad(to_hex({_lane('2166136261', '16777619', '{x}')}), 8, '0') as first_lane, lpad(to_hex(n), 8, '0') as length_part from c""".replace("to_hex(", "lower_hex(").replace("lower_hex(", "format('{:x}', "))
 def text_fingerprint(spark, sf):
-    """The first lane and the length of every text; null counts as empty. The SQL covers 1 to 1999 characters only; both
-    lanes are tested against a scalar model."""
+    """The first lane and the length of every text; null counts as empty. Both lanes are tested against a scalar
+    model."""
     f = text.fingerprint(F.col("text"))
     return read(spark, sf, "documents").select("doc_id", f.alias("f")).select("doc_id", F.substring("f", 1, 8).alias("first_lane"), F.substring("f", 17, 8).alias("length_part"))
 
