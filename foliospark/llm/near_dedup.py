@@ -11,12 +11,12 @@ their sequence; documents with a long common prefix stand next to one another in
    large, lands in one task.
 3. What is left is whole: documents of different components that share a run (``SHALLOW`` equal hashes). Runs of more
    than ``MAX_RUN`` members go deeper, with the more trees the deeper (``LEVELS``), so depth follows the density of
-   the region; at the last level no size is too large. Members of a run meet in an equi-join whose condition compares
+   the region; at the last level no size is too large. Levels are few, as each one costs a document of a dense region
+   a row for every tree of it, and going deeper than the last saves less in comparisons than its trees cost. Members of a run meet in an equi-join whose condition compares
    sketches of ``BITS`` one-bit min-hashes and holds for the first shared run only, so that neither pairs far from
    0.75 nor repetitions become rows; what is left is confirmed.
 
-Two documents of similarity 0.75 share no run with probability 3e-9 at the first level, 3e-8 at the second, 3e-7 at the
-last; the sketches' cut of 4.5 standard deviations loses 4e-6 of such pairs (closer ones: less).
+Two documents of similarity 0.75 share no run with probability 2e-8 at the first level, 3e-7 at the last; the sketches' cut of 4.5 standard deviations loses 4e-6 of such pairs (closer ones: less).
 """
 
 from __future__ import annotations
@@ -34,12 +34,12 @@ from .words import mix64, word_hashes
 
 WORDS = 5
 PERCENT = 75
-TREES, DEPTH, SHALLOW = 24, 5, 2
+TREES, DEPTH, SHALLOW = 32, 4, 3
 #: Depth and number of trees, for documents of runs that were too large at the level before.
-LEVELS = ((3, 32), (5, 56))
-MAX_RUN = 256
+LEVELS = ((4, 40),)
+MAX_RUN = 512
 #: For each round: places in the orders that it looks back, and the least common prefix, longer for farther looks.
-WINDOWS = ((1, 2), (4, 4))
+WINDOWS = ((1, 3), (4, 4))
 SIGNATURE = TREES * DEPTH
 DEVIATIONS = 4.5
 #: Hashes of SIGNATURE that agree in all but the last 3e-6 of pairs of similarity 0.75.
