@@ -63,8 +63,11 @@ def reorder(pages: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def remove(pages: DataFrame, gone: DataFrame) -> DataFrame:
     """Pages not in gone (doc_id, page_no). Documents that would lose all their pages are an error."""
-    left = pages.join(gone, ["doc_id", "page_no"], "left_anti").withColumn("source_page", F.col("page_no"))
-    return renumber(left, "source_page")
+    marked = pages.join(gone.select("doc_id", "page_no", F.lit(True).alias("__gone")).distinct(), ["doc_id", "page_no"], "left")
+    stays = F.col("__gone").isNull()
+    some = F.max(stays).over(Window.partitionBy("doc_id"))
+    left = marked.withColumn("__stays", F.when(some, stays).otherwise(F.raise_error(F.lit("cannot remove all pages"))))
+    return renumber(left.filter("__stays").drop("__gone", "__stays").withColumn("source_page", F.col("page_no")), "source_page")
 
 
 def interleave(a: DataFrame, b: DataFrame, reverse: bool = False) -> DataFrame:
@@ -75,14 +78,19 @@ def interleave(a: DataFrame, b: DataFrame, reverse: bool = False) -> DataFrame:
 
 
 def insert_blank(pages: DataFrame, after: int, count: int = 1) -> DataFrame:
-    """count empty pages after page ``after`` (0: in front), of the size of the page before, or else the first."""
+    """count empty pages after page ``after`` (0: in front), of the size of the page before, or else the first.
+
+    Documents of fewer than ``after`` pages are an error.
+    """
     if not 1 <= count <= MAX_BLANKS or after < 0:
         raise ValueError("count must be between 1 and 100, and after not negative")
     like = max(after, 1)
     kept = {"doc_id", "width", "height"}
     blanks = pages.filter(F.col("page_no") == like).select(*[F.col(c) if c in kept else F.lit(None).cast(pages.schema[c].dataType).alias(c) for c in pages.columns if c != "page_no"], F.lit(after).alias("page_no"), F.lit(True).alias("blank"), F.explode(F.sequence(F.lit(1), F.lit(count))).alias("__k"))
     rows = pages.withColumns({"blank": F.lit(False), "__k": F.lit(0)}).unionByName(blanks)
-    return renumber(rows.withColumn("__at", F.col("page_no")), "__at", "__k").drop("__at", "__k")
+    last = F.max(F.when(~F.col("blank"), F.col("page_no"))).over(Window.partitionBy("doc_id"))
+    checked = rows.withColumn("__at", F.when(last >= after, F.col("page_no")).otherwise(F.raise_error(F.lit("blank pages go after a page of the document"))))
+    return renumber(checked, "__at", "__k").drop("__at", "__k")
 
 
 def rotate(pages: DataFrame, by: int, selected: Column | None = None) -> DataFrame:

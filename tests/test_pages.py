@@ -82,3 +82,14 @@ def test_labels_and_numbers(spark, book):
     for n in (1, 26, 27, 52, 702, 703, 16384, 18278):
         assert one(spark, numbers.column_number(numbers.column_letters(F.lit(n)))) == n
     assert one(spark, numbers.column_letters(F.lit(16384))) == "XFD"
+
+
+def test_all_pages_gone_and_blanks_beyond_the_end_are_errors(spark):
+    pages = spark.createDataFrame([(1, 1, 10.0, 20.0), (1, 2, 30.0, 40.0), (2, 1, 50.0, 60.0)], "doc_id long, page_no int, width double, height double")
+    gone = spark.createDataFrame([(1, 1), (1, 1), (2, 5)], "doc_id long, page_no int")
+    assert sorted((r.doc_id, r.page_no, r.source_page) for r in P.remove(pages, gone).collect()) == [(1, 1, 2), (2, 1, 1)]
+    with pytest.raises(Exception, match="cannot remove all pages"):
+        P.remove(pages, spark.createDataFrame([(2, 1)], "doc_id long, page_no int")).collect()
+    assert sorted((r.doc_id, r.page_no, r.blank) for r in P.insert_blank(pages, 1).collect()) == [(1, 1, False), (1, 2, True), (1, 3, False), (2, 1, False), (2, 2, True)]
+    with pytest.raises(Exception, match="after a page"):
+        P.insert_blank(pages, 2).collect()
