@@ -1,5 +1,7 @@
 """Operation catalog, typed linear pipelines and batches with failures as rows."""
 
+import hashlib
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -24,36 +26,51 @@ class Operation:
     pipeline: bool = True
     batch: bool = True
     sidecars: tuple[str, ...] = ()
+    engine: str = "wasm"
 
 
 def _ops(kind: str, gives: str, names: str, **more) -> list[Operation]:
     return [Operation(n, kind, gives, **more) for n in names.split()]
 
 
+_PLAIN = {"terminal": True, "pipeline": False}
+_PAGE = _PLAIN | {"batch": False}
+#: What each operation takes, gives and can be used in.
 CATALOG: dict[str, Operation] = {
     o.id: o
     for o in [
         *_ops("pdf", "pdf", "merge", least=2, most=100),
         *_ops("pdf", "pdf", "interleave", least=2, most=2),
-        *_ops("pdf", "pdf", "remove blank rotate crop resize nup watermark pagenum compress flatten metadata protect unlock"),
+        *_ops("pdf", "pdf", "remove blank rotate crop resize nup watermark pagenum compress flatten metadata unlock"),
+        *_ops("pdf", "pdf", "protect", terminal=True),
         *_ops("pdf", "pdf", "reorder", batch=False),
         *_ops("pdf", "pdf", "stamp", sidecars=("image",)),
-        *_ops("pdf", "pdf", "split", many=True, terminal=True, pipeline=False),
-        *_ops("pdf", "text", "pdftext", terminal=True),
-        *_ops("pdf", "json", "info", terminal=True),
-        *_ops("pdf", "zip", "pdfimages", terminal=True, pipeline=False),
-        *_ops("pdf", "text", "pdfdiff", least=2, most=2, terminal=True, pipeline=False, batch=False),
-        *_ops("pdf", "docx", "pdf2docx"),
-        *_ops("pdf", "hwpx", "pdf2hwpx"),
+        *_ops("pdf", "pdf", "split", many=True, **_PLAIN),
+        *_ops("pdf", "text", "pdftext", **_PLAIN),
+        *_ops("pdf", "json", "info", **_PLAIN),
+        *_ops("pdf", "zip", "pdfimages", **_PLAIN),
+        *_ops("pdf", "zip", "pdf2img", engine="module", **_PLAIN),
+        *_ops("pdf", "text", "pdfdiff", least=2, most=2, **_PAGE),
+        *_ops("pdf", "docx", "pdf2docx", **_PLAIN),
+        *_ops("pdf", "hwpx", "pdf2hwpx", **_PLAIN),
         *_ops("image", "pdf", "img2pdf", most=500),
         *_ops("image", "image", "imgconv imgresize"),
         *_ops("text", "pdf", "txt2pdf md2pdf"),
         *_ops("docx", "pdf", "docx2pdf"),
-        *_ops("docx", "hwpx", "docx2hwpx"),
+        *_ops("docx", "hwpx", "docx2hwpx", **_PLAIN),
         *_ops("hwpx", "pdf", "hwpx2pdf"),
-        *_ops("hwpx", "docx", "hwpx2docx"),
+        *_ops("hwpx", "docx", "hwpx2docx", **_PLAIN),
         *_ops("hwp", "pdf", "hwp2pdf"),
-        *_ops("xlsx", "csv", "xlsx2csv", many=True, terminal=True),
+        *_ops("xlsx", "csv", "xlsx2csv", **_PLAIN),
+        *_ops("file", "pdf", "ocrpdf", most=500, **_PAGE),
+        *_ops("file", "text", "ocr", most=500, engine="module", **_PLAIN),
+        *_ops("raster-pages", "pdf", "redact", most=500, **_PAGE),
+        *_ops("file", "file", "send", most=1000, many=True, engine="transport", **_PAGE),
+        *_ops("pdf", "pdf", "workflow", most=100, engine="module", **_PAGE),
+        *_ops("pdf", "pdf", "batch", most=500, many=True, engine="module", **_PAGE),
+        *_ops("text", "pdf", "typst", engine="module", pipeline=False, batch=False),
+        *_ops("text", "text", "mdedit", pipeline=False, batch=False),
+        *_ops("text", "text", "htmledit", engine="module", pipeline=False, batch=False),
     ]
 }
 
@@ -83,6 +100,8 @@ def validate(steps: list[Step], kind: str, count: int, catalog: dict[str, Operat
             raise PlanError(f"no operation {s.operation}")
         if op.terminal and k < len(steps) - 1:
             raise PlanError(f"{op.id} must come last")
+        if not op.pipeline:
+            raise PlanError(f"{op.id} is not available in pipelines")
         if op.takes != kind:
             raise PlanError(f"{op.id} takes {op.takes}, not {kind}")
         if number is None or not op.least <= number <= op.most:
@@ -101,6 +120,12 @@ def run(data: DataFrame, steps: list[Step], handlers: dict[str, Callable[..., Da
     return data
 
 
+def artifact_key(step: Step, inputs: list[str], sidecars: dict[str, str] | None = None) -> str:
+    """Names a step's result by its operation, parameters and the digests of what it reads: the same for the same work."""
+    said = {"operation": step.operation, "params": step.params, "inputs": inputs, "sidecars": sidecars or {}}
+    return hashlib.sha256(json.dumps(said, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
 def as_table(spark: SparkSession, catalog: dict[str, Operation] = CATALOG) -> DataFrame:
     rows = [(o.id, o.takes, o.least, o.most, o.gives, o.many, o.terminal, o.pipeline, o.batch) for o in catalog.values()]
     return spark.createDataFrame(rows, "id string, takes string, least int, most int, gives string, many boolean, terminal boolean, pipeline boolean, batch boolean")

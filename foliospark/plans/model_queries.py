@@ -94,6 +94,47 @@ def batch_failures(spark, sf):
     return s.select("user_id", "inputs", "succeeded", "failed", F.array_join(F.transform("failures", lambda x: x["index"].cast("string")), ",").alias("failures"))
 
 
-@query()
+def _listed(names: str, takes: str, gives: str, least: int = 1, most: int = 1, many: bool = False, uses: str = "pb") -> str:
+    flags = ", ".join(f"{flag in uses} as {name}" for flag, name in (("t", "terminal"), ("p", "pipeline"), ("b", "batch")))
+    return f"select unnest(string_split('{names}', ' ')) as id, '{takes}' as takes, {least}::int as least, {most}::int as most, '{gives}' as gives, {many} as many, {flags}"
+
+
+#: p: in pipelines, b: in batches, t: comes last.
+_CATALOG_SQL = " union all ".join(
+    [
+        _listed("remove blank rotate crop resize nup watermark pagenum compress flatten metadata unlock stamp", "pdf", "pdf"),
+        _listed("merge", "pdf", "pdf", 2, 100),
+        _listed("interleave", "pdf", "pdf", 2, 2),
+        _listed("protect", "pdf", "pdf", uses="pbt"),
+        _listed("reorder", "pdf", "pdf", uses="p"),
+        _listed("split", "pdf", "pdf", many=True, uses="bt"),
+        _listed("workflow", "pdf", "pdf", most=100, uses="t"),
+        _listed("batch", "pdf", "pdf", most=500, many=True, uses="t"),
+        _listed("pdftext", "pdf", "text", uses="bt"),
+        _listed("pdfdiff", "pdf", "text", 2, 2, uses="t"),
+        _listed("info", "pdf", "json", uses="bt"),
+        _listed("pdfimages pdf2img", "pdf", "zip", uses="bt"),
+        _listed("pdf2docx", "pdf", "docx", uses="bt"),
+        _listed("pdf2hwpx", "pdf", "hwpx", uses="bt"),
+        _listed("img2pdf", "image", "pdf", most=500),
+        _listed("imgconv imgresize", "image", "image"),
+        _listed("txt2pdf md2pdf", "text", "pdf"),
+        _listed("typst", "text", "pdf", uses=""),
+        _listed("mdedit htmledit", "text", "text", uses=""),
+        _listed("docx2pdf", "docx", "pdf"),
+        _listed("docx2hwpx", "docx", "hwpx", uses="bt"),
+        _listed("hwpx2pdf", "hwpx", "pdf"),
+        _listed("hwpx2docx", "hwpx", "docx", uses="bt"),
+        _listed("hwp2pdf", "hwp", "pdf"),
+        _listed("xlsx2csv", "xlsx", "csv", uses="bt"),
+        _listed("ocrpdf", "file", "pdf", most=500, uses="t"),
+        _listed("ocr", "file", "text", most=500, uses="bt"),
+        _listed("send", "file", "file", most=1000, many=True, uses="t"),
+        _listed("redact", "raster-pages", "pdf", most=500, uses="t"),
+    ]
+)
+
+
+@query(_CATALOG_SQL)
 def operation_catalog(spark, sf):
     return catalog.as_table(spark)

@@ -60,7 +60,14 @@ def test_office_files(spark):
 
 def test_pipelines_are_checked_before_they_run():
     s = catalog.Step
-    assert catalog.validate([s("a", "merge"), s("b", "rotate"), s("c", "pdftext")], "pdf", 3) == ("text", 1)
+    assert catalog.validate([s("a", "merge"), s("b", "rotate"), s("c", "protect")], "pdf", 3) == ("pdf", 1)
+    with pytest.raises(catalog.PlanError, match="not available in pipelines"):
+        catalog.validate([s("a", "pdftext")], "pdf", 1)
+    rows = catalog.CATALOG.values()
+    assert len(rows) == 45 and [sum(o.engine == e for o in rows) for e in ("wasm", "module", "transport")] == [38, 6, 1]
+    assert [sum(getattr(o, f) for o in rows) for f in ("pipeline", "batch", "terminal")] == [25, 35, 18]
+    key = catalog.artifact_key
+    assert key(catalog.Step("a", "crop", {"x": 1, "y": 2}), ["d"]) == key(catalog.Step("b", "crop", {"y": 2, "x": 1}), ["d"]) != key(catalog.Step("a", "crop", {"x": 1, "y": 2}), ["e"])
     for steps, count, why in (([], 1, "needs steps"), ([s("a", "rotate"), s("a", "crop")], 1, "distinct"), ([s("a", "merge")], 1, "2 to 100"), ([s("a", "imgconv")], 1, "takes image"), ([s("a", "pdftext"), s("b", "txt2pdf")], 1, "last"), ([s("a", "nope")], 1, "no operation"), ([s("a", "stamp")], 1, "needs image"), ([s("a", "rotate")], 2, "1 to 1")):
         with pytest.raises(catalog.PlanError, match=why):
             catalog.validate(steps, "pdf", count)
