@@ -57,3 +57,16 @@ def select(text: Column, pages: Column) -> Column:
 def order(pages: Column) -> Column:
     """A permutation as text."""
     return F.array_join(F.transform(pages, lambda p: p.cast("string")), ",")
+
+
+def moved(order, page, target):
+    """The order with a page moved to a place (from 0); unchanged if there is no such page or place."""
+    rest = F.filter(order, lambda x: x != page)
+    there = F.array_contains(order, page) & (target >= 0) & (target < F.size(order))
+    return F.when(there, F.array_insert(rest, (target + 1).cast("int"), page)).otherwise(order)
+
+
+def selected(pages, page, total, on=True):
+    """The sorted pages with one more, or one less; unchanged if the document hasn't got it."""
+    new = F.array_union(pages, F.array(page)) if on else F.array_remove(pages, page)
+    return F.array_sort(F.when(page.between(1, total), new).otherwise(pages))

@@ -104,3 +104,19 @@ def gray_fingerprint(image: np.ndarray, size: int = 8) -> list[int]:
     rows = np.array_split(np.arange(gray.shape[0]), size) if gray.shape[0] >= size else [[min(k * gray.shape[0] // size, gray.shape[0] - 1)] for k in range(size)]
     cols = np.array_split(np.arange(gray.shape[1]), size) if gray.shape[1] >= size else [[min(k * gray.shape[1] // size, gray.shape[1] - 1)] for k in range(size)]
     return [int(gray[np.ix_(r, c)].mean() + 0.5) for r in rows for c in cols]
+
+
+def box_resize(image: np.ndarray, width: int, height: int) -> np.ndarray:
+    """An image (height, width, channels) of bytes at another size: each pixel is the whole-number mean of its block."""
+    for axis, new in ((0, height), (1, width)):
+        if new < 1 or image.shape[axis] < 1:
+            raise ValueError("images have at least one pixel")
+    sums, cells = image.astype(np.int64), 1
+    for axis, new in ((0, height), (1, width)):
+        old = image.shape[axis]
+        low = np.arange(new) * old // new
+        high = np.minimum(np.maximum(np.arange(1, new + 1) * old // new, low + 1), old)
+        running = np.insert(np.cumsum(sums, axis), 0, 0, axis)
+        sums = running.take(high, axis) - running.take(low, axis)
+        cells = np.multiply.outer(cells, high - low)
+    return (sums // cells[..., None]).astype(np.uint8)

@@ -5,10 +5,10 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from foliospark.plans import model_queries, page_queries, source_queries, text_queries
+from foliospark.plans import geometry_queries, model_queries, page_queries, source_queries, text_queries
 
 SF = "/root/testdata/sf0.001"
-OWN = {n: s for m in (page_queries, text_queries, model_queries, source_queries) for n, s in m.ORACLE.items()}
+OWN = {n: s for m in (page_queries, text_queries, model_queries, source_queries, geometry_queries) for n, s in m.ORACLE.items()}
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 
 
