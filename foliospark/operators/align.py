@@ -83,19 +83,54 @@ def align(pairs: DataFrame, max_cells: int = MAX_CELLS, gap: float = GAP) -> Dat
     return pairs.filter(cells <= max_cells).mapInPandas(run, PAIRS).unionByName(by_place)
 
 
-def pixel_diff(a: np.ndarray, b: np.ndarray, threshold: int = 16) -> tuple[int, tuple[int, int, int, int] | None]:
-    """Changed pixels of two RGBA images (height, width, 4) and their bounds (x0, y0, x1, y1).
+def _on_slope(image: np.ndarray, contrast: float) -> np.ndarray:
+    """Pixels with a darker and a lighter neighbour, both by more than the contrast: those of a smoothed edge."""
+    light = image[..., :3] @ np.array([0.299, 0.587, 0.114])
+    h, w = light.shape
+    around = np.pad(light, 1, constant_values=np.nan)
+    near = np.stack([around[y : y + h, x : x + w] for y in range(3) for x in range(3) if (y, x) != (1, 1)])
+    return (near < light - contrast).any(0) & (near > light + contrast).any(0)
 
-    A pixel changes if a channel differs by more than the threshold; what only one image covers is changed.
+
+def _covered(extent: tuple[float, float] | None, h: int, w: int) -> np.ndarray:
+    """The share of each pixel that a page of this width and height covers."""
+    width, height = extent or (w, h)
+    return np.outer(np.clip(height - np.arange(h), 0, 1), np.clip(width - np.arange(w), 0, 1))
+
+
+def changed_pixels(a: np.ndarray, b: np.ndarray, threshold: float = 0, tolerance: float = 0, extents: tuple = (None, None)) -> np.ndarray:
+    """Changed pixels of two RGBA images (height, width, 4) over the union of both.
+
+    A pixel changes if a channel differs by more than the threshold, unless it differs by no more than the tolerance
+    and lies on an edge's slope in either image. What one image alone covers, or the extents (width, height of the
+    pages inside their images) cover differently, is changed.
     """
+    if not (0 <= threshold <= 255 and 0 <= tolerance <= 255):
+        raise ValueError("threshold and tolerance are 0 to 255")
     h, w = max(a.shape[0], b.shape[0]), max(a.shape[1], b.shape[1])
     changed = np.ones((h, w), bool)
     y, x = min(a.shape[0], b.shape[0]), min(a.shape[1], b.shape[1])
-    changed[:y, :x] = np.abs(a[:y, :x].astype(int) - b[:y, :x]).max(2) > threshold
-    at = np.argwhere(changed)
+    gap = np.abs(a[:y, :x].astype(int) - b[:y, :x]).max(2, initial=0)
+    differs = gap > threshold
+    if tolerance:
+        contrast = max(1, threshold)
+        differs &= ~((gap <= tolerance) & (_on_slope(a, contrast)[:y, :x] | _on_slope(b, contrast)[:y, :x]))
+    shares = [_covered(e, *image.shape[:2])[:y, :x] for e, image in zip(extents, (a, b), strict=True)]
+    changed[:y, :x] = differs | (np.abs(shares[0] - shares[1]) > 1e-9)
+    return changed
+
+
+def pixel_diff(a: np.ndarray, b: np.ndarray, threshold: float = 16, **more) -> tuple[int, tuple[int, int, int, int] | None]:
+    """The number of changed_pixels and their bounds (x0, y0, x1, y1)."""
+    at = np.argwhere(changed_pixels(a, b, threshold, **more))
     return len(at), (int(at[:, 1].min()), int(at[:, 0].min()), int(at[:, 1].max()) + 1, int(at[:, 0].max()) + 1) if len(at) else None
 
 
+def heatmap(changed: np.ndarray) -> np.ndarray:
+    """Changed pixels in opaque red, all else transparent."""
+    return changed[..., None] * np.array([255, 0, 0, 255], np.uint8)
+
+
 def gray_fingerprint(image: np.ndarray, size: int = 8) -> list[int]:
     """Mean brightness of size x size cells of an RGBA image over white."""
     alpha = image[..., 3:].astype(float) / 255

@@ -11,6 +11,7 @@ from ..functions import integrity, text
 from ..functions.numbers import round2
 from ..operators import align as A
 from ..operators import diff as D
+from ..operators.search import find_patterns
 from .page_queries import _r2, pages_of, read
 
 QUERIES: dict = {}
@@ -167,14 +168,9 @@ def unique_names(spark, sf):
 
 @query("""with t as (select item_id, string_split(text, '. ')[1] as pattern from benchmark) select d.doc_id, t.item_id, instr(d.text, t.pattern) as first_at from documents d join t on instr(d.text, t.pattern) > 0 where length(t.pattern) >= 12""")
 def forbidden_patterns(spark, sf):
-    """Patterns are few and fixed by the caller: a broadcast list, every text scanned once for each."""
+    """The first sentence of each benchmark item, if it has 12 characters or more, in every document."""
     patterns = read(spark, sf, "benchmark").select("item_id", F.element_at(F.split("text", r"\. "), 1).alias("pattern")).filter(F.length("pattern") >= 12)
-    found = patterns.limit(10_001).collect()
-    if len(found) > 10_000:
-        raise ValueError("at most 10000 patterns")
-    rows = F.array(*[F.struct(F.lit(r["item_id"]).alias("item_id"), F.lit(r["pattern"]).alias("pattern")) for r in found])
-    hits = F.filter(rows, lambda p: F.contains(F.col("text"), p["pattern"]))
-    return read(spark, sf, "documents").select("doc_id", "text", F.explode(hits).alias("p")).select("doc_id", F.col("p.item_id").alias("item_id"), F.expr("locate(p.pattern, text)").cast("long").alias("first_at"))
+    return find_patterns(read(spark, sf, "documents"), patterns)
 
 
 _DIGESTS = "list_transform(range(0, greatest(ceil(strlen(text) / 1000.0), 1)::bigint), lambda k: sha256(substring(hex(encode(text)), k * 2000 + 1, 2000)))"
