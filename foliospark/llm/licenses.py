@@ -35,6 +35,36 @@ KNOWN: dict[str, tuple[str, ...]] = {
     "Zlib": ("This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n\n1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.\n\n2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n\n3. This notice may not be removed or altered from any source distribution.",),
 }
 
+_GRANT = "{program} is free software{stop} you can redistribute it and/or modify it under the terms of the GNU {name} General Public License as published by the Free Software Foundation{comma} either version {version} of the License, or (at your option) any later version.\n\n{program} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} General Public License for more details.\n\nYou should have received a copy of the GNU {name} General Public License along with this {short}. If not, see <https://www.gnu.org/licenses/>."
+
+
+def _gnu(name: str, version: str, program: str = "This program", short: str = "program") -> tuple[str, str]:
+    """The notice of a GNU licence, and a line that names it."""
+    full = _GRANT.format(name=name, version=version, program=program, short=short, stop=":", comma=",").replace("GNU  ", "GNU ")
+    return full, f"This work is licensed under the GNU {name} General Public License, version {version}.".replace("GNU  ", "GNU ")
+
+
+def _creative(name: str, title: str) -> tuple[str, ...]:
+    """Usual notices of a Creative Commons licence, version 4.0."""
+    return (
+        f"This work is licensed under a Creative Commons {title} 4.0 International License.",
+        f"This work is licensed under the Creative Commons {title} 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/{name}/4.0/ or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA.",
+        f"Licensed under CC {name.upper()} 4.0.",
+    )
+
+
+KNOWN["GPL-2.0"] = _gnu("", "2")
+KNOWN["GPL-3.0"] = tuple(dict.fromkeys((*KNOWN["GPL-3.0"], *_gnu("", "3"))))
+KNOWN["LGPL-2.1"] = _gnu("Lesser", "2.1", "This library", "library")
+KNOWN["LGPL-3.0"] = _gnu("Lesser", "3")
+KNOWN["AGPL-3.0"] = _gnu("Affero", "3")
+KNOWN["MPL-2.0"] = ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",)
+KNOWN["BSD-3-Clause"] = (KNOWN["BSD-2-Clause"][0].replace("THIS SOFTWARE IS PROVIDED", "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\nTHIS SOFTWARE IS PROVIDED", 1),)
+KNOWN["Unlicense"] = ("This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\n\nIn jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.\n\nFor more information, please refer to <https://unlicense.org>",)
+KNOWN["CC0-1.0"] = ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",)
+for _name, _title in {"by": "Attribution", "by-sa": "Attribution-ShareAlike", "by-nd": "Attribution-NoDerivatives", "by-nc": "Attribution-NonCommercial", "by-nc-sa": "Attribution-NonCommercial-ShareAlike", "by-nc-nd": "Attribution-NonCommercial-NoDerivatives"}.items():
+    KNOWN[f"CC-{_name.upper()}-4.0"] = _creative(_name, _title)
+
 #: A line that names a copyright holder; such lines differ between copies of one licence.
 COPYRIGHT_LINE = r"(?i)(^|\n)[^\n0-9A-Za-z]*(copyright|\(c\)|©)([^\n]*(\(c\)|©|[0-9]{4})|[ \t]+by )[^\n]*"
 RESERVED_LINE = r"(?i)(^|\n)[^\n0-9A-Za-z]*all rights reserved[^\n]*"
@@ -60,13 +90,21 @@ def known_digests(spark: SparkSession, known: dict[str, tuple[str, ...]] | None
     return spark.createDataFrame(rows, "license string, known string").select(F.sha2(canonical(F.col("known")), 256).alias("license_digest"), "license").groupBy("license_digest").agg(F.min("license").alias("license"))
 
 
-def scan(docs: DataFrame, id_col="doc_id", text_col="text", known: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+def digests_of(texts: DataFrame) -> DataFrame:
+    """(license_digest, license) of a table (license, text) of licence texts, such as a whole public list; the least
+    name of equal texts. Null and empty texts are left out."""
+    rows = texts.select("license", canonical(F.col("text")).alias("form")).filter("form <> ''")
+    return rows.groupBy(F.sha2("form", 256).alias("license_digest")).agg(F.min("license").alias("license"))
+
+
+def scan(docs: DataFrame, id_col="doc_id", text_col="text", known: dict[str, tuple[str, ...]] | None = None, digests: DataFrame | None = None) -> DataFrame:
     """Digest and licence (null: none) of every document.
 
+    ``digests`` is a table as digests_of() makes it, of any size; else the texts of ``known``, or KNOWN, are looked up.
     Null and empty texts have the digest of the empty form, which is no licence. Repeated rows give a row each.
     """
     forms = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(canonical(F.col(text_col)), 256).alias("license_digest"))
-    table = known_digests(docs.sparkSession, known)
+    table = digests if digests is not None else known_digests(docs.sparkSession, known)
     return forms.join(common.bounded_broadcast(table, 100_000), "license_digest", "left").select("doc_id", "license_digest", "license")
 
 
